@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_quality
-from .common import table
+from . import host_quality, packing, sentencepiece_bpe
+from .common import ship, table
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), digests=True)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("byte_bpe_50k.tiktoken"))
+
+
+QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op10_packing": op10_packing, "op5_quality_rules": op5_quality_rules}
 
 ORACLE_SQL: dict[str, str] = {}
