@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_quality, packing, sentencepiece_bpe
+from . import host_quality, packing, sanitize, sentencepiece_bpe, warc
 from .common import ship, table
 
 
@@ -28,6 +28,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op10_packing": op10_packing, "op5_quality_rules": op5_quality_rules}
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return sanitize.spans(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op4_pii": op4_pii, "op6_warc": op6_warc, "op2_sentencepiece": op2_sentencepiece, "op10_packing": op10_packing, "op5_quality_rules": op5_quality_rules}
 
 ORACLE_SQL: dict[str, str] = {}
