@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, host_quality, ngram_join, packing, sanitize, sentencepiece_bpe, warc
+from . import embed_dedup, host_quality, ngram_join, packing, sanitize, sentencepiece_bpe, suffix_index, warc
 from .common import ship, table
 
 
@@ -48,6 +48,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES = {"op8_ngram_join": op8_ngram_join, "op9_embedding_dedup": op9_embedding_dedup, "op4_pii": op4_pii, "op6_warc": op6_warc, "op2_sentencepiece": op2_sentencepiece, "op10_packing": op10_packing, "op5_quality_rules": op5_quality_rules}
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return suffix_index.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_suffix_dedup": op7_suffix_dedup, "op8_ngram_join": op8_ngram_join, "op9_embedding_dedup": op9_embedding_dedup, "op4_pii": op4_pii, "op6_warc": op6_warc, "op2_sentencepiece": op2_sentencepiece, "op10_packing": op10_packing, "op5_quality_rules": op5_quality_rules}
 
 ORACLE_SQL: dict[str, str] = {}
