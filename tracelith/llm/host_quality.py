@@ -67,7 +67,7 @@ def measure(docs: DataFrame) -> DataFrame:
     n_lines = F.get(F.transform(F.array(lines), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))), F.lit(0))
     stats = F.get(F.transform(F.array(words), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r"))), F.lit(0))
     out = docs.select(
-        "doc_id",
+        "doc_id", F.xxhash64(F.col("doc_id"), F.col("text"), F.col("source")).alias("row"),
         F.coalesce(F.lower(F.trim(F.col("source").cast("string"))), F.lit("")).alias("host"),
         stats.alias("w"),
         F.length(solid).cast("long").alias("word_chars"),
@@ -75,7 +75,7 @@ def measure(docs: DataFrame) -> DataFrame:
         n_lines.alias("l"),
     )
     return out.select(
-        "doc_id", "host", F.col("w.n").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", "row", "host", F.col("w.n").alias("n_words"), "word_chars", "n_symbols",
         (F.col("l.n") - F.col("l.d")).cast("long").alias("n_dup_lines"), F.col("l.n").cast("long").alias("n_lines"), F.col("w.r").alias("n_repeat_words"),
     )
 
@@ -112,6 +112,13 @@ def host_verdicts(failed: DataFrame) -> DataFrame:
     )
 
 
+def filter_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs that quality() keeps, all columns. Rows are told apart by a hash of doc_id, text and source."""
+    keep = _judged(docs).where("kept").select(F.col("row").alias("_row")).distinct()
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), F.col("text"), F.col("source")))
+    return keyed.join(keep, "_row", "left_semi").drop("_row")
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """Counts, base_failed, kept and host_verdict of each row of docs (columns doc_id, text, source; others are not read).
 
@@ -119,6 +126,10 @@ def quality(docs: DataFrame) -> DataFrame:
     an empty table gives an empty one. Only hosts that don't pass are joined back, by the planner's
     choice of broadcast (below its size limit) or a sort-merge join that adaptive execution splits on hot hosts.
     """
+    return _judged(docs).drop("row")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
     failed = failures(written(measure(docs), "measured"))
     bad = written(host_verdicts(failed), "hosts").where("verdict <> 'pass'").select("host", F.col("verdict").alias("host_verdict"))
     out = failed.join(bad, "host", "left")
@@ -126,6 +137,6 @@ def quality(docs: DataFrame) -> DataFrame:
     soft = F.col("f_symbols") | F.col("f_dup_lines")
     keep = ~F.col("f_base") & ~(verdict == "reject") & ~((verdict == "suspect") & soft)
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.col("f_base").alias("base_failed"), keep.alias("kept"), verdict.alias("host_verdict"),
     )
