@@ -78,7 +78,11 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, whatever their Python path is."""
+    """Give the executors this package, once per application, whatever their Python path is.
+
+    Arrow batches are kept small: a worker holds a few copies of one, and texts are long.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
