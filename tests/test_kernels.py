@@ -17,31 +17,31 @@ D = lambda v: F.lit(v).cast("double")
 @pytest.mark.parametrize(
     "col, want",
     [
-        (K.soft_score(D(5.0), 5.0, 1.0), 0.5),
-        (K.soft_score(D(4.0), 5.0, 1.0), 1.0),
-        (K.soft_score(D(6.0), 5.0, 1.0), 0.0),
-        (K.soft_score(D(None), 5.0, 1.0), None),
-        (K.angle_difference(D(350.0), D(10.0)), 20.0),
-        (K.angle_difference(D(-170.0), D(170.0)), 20.0),
-        (K.signed_angle(D(3 * math.pi)), math.pi),
-        (K.lens_area(D(0.0), D(1.0), D(2.0)), math.pi),
-        (K.lens_area(D(4.0), D(1.0), D(2.0)), 0.0),
-        (K.speed_score(D(39.0), D(1.0)), 1.0),
-        (K.speed_score(D(41.0), D(1.0)), 0.0),
-        (K.position_score(D(10.0), D(0.0), D(1.0)), None),
-        (K.position_speed_score(D(1000.0), D(1.0), D(1.0), D(3.1), D(1.0)), 1.0),
-        (K.position_max_speed_score(D(1.0), D(1.0), D(1.0), D(1.0), D(1.0), D(1.0)), 0.5),
-        (K.frequency_score(D(0.5)), 0.0),
-        (K.confidence(D(None), D(None)), 1e-3),
-        (K.proximity_score(D(100.0), D(0.0), F.array(D(1.0))), 1.0),
-        (K.overlap_score(D(0.0), D(1.0), D(1.0)), 0.0),
-        (K.ratio(D(1.0), D(0.0)), None),
-        (K.ratio(D(1.0), D(0.0), 0.0), 0.0),
-        (K.clamp(D(None), 0.0, 1.0), None),
+        (lambda: K.soft_score(D(5.0), 5.0, 1.0), 0.5),
+        (lambda: K.soft_score(D(4.0), 5.0, 1.0), 1.0),
+        (lambda: K.soft_score(D(6.0), 5.0, 1.0), 0.0),
+        (lambda: K.soft_score(D(None), 5.0, 1.0), None),
+        (lambda: K.angle_difference(D(350.0), D(10.0)), 20.0),
+        (lambda: K.angle_difference(D(-170.0), D(170.0)), 20.0),
+        (lambda: K.signed_angle(D(3 * math.pi)), math.pi),
+        (lambda: K.lens_area(D(0.0), D(1.0), D(2.0)), math.pi),
+        (lambda: K.lens_area(D(4.0), D(1.0), D(2.0)), 0.0),
+        (lambda: K.speed_score(D(39.0), D(1.0)), 1.0),
+        (lambda: K.speed_score(D(41.0), D(1.0)), 0.0),
+        (lambda: K.position_score(D(10.0), D(0.0), D(1.0)), None),
+        (lambda: K.position_speed_score(D(1000.0), D(1.0), D(1.0), D(3.1), D(1.0)), 1.0),
+        (lambda: K.position_max_speed_score(D(1.0), D(1.0), D(1.0), D(1.0), D(1.0), D(1.0)), 0.5),
+        (lambda: K.frequency_score(D(0.5)), 0.0),
+        (lambda: K.confidence(D(None), D(None)), 1e-3),
+        (lambda: K.proximity_score(D(100.0), D(0.0), F.array(D(1.0))), 1.0),
+        (lambda: K.overlap_score(D(0.0), D(1.0), D(1.0)), 0.0),
+        (lambda: K.ratio(D(1.0), D(0.0)), None),
+        (lambda: K.ratio(D(1.0), D(0.0), 0.0), 0.0),
+        (lambda: K.clamp(D(None), 0.0, 1.0), None),
     ],
 )
 def test_kernel(spark, col, want):
-    got = value(spark, col)
+    got = value(spark, col())
     assert got is None if want is None else got == pytest.approx(want, abs=1e-9)
 
 

@@ -56,7 +56,7 @@ def first_label(text: Column) -> Column:
 def id_list(text: Column) -> Column:
     """Trimmed distinct ids of the first flat JSON array in the text; null if there is none."""
     raw = F.regexp_extract(text, r"\[[^\[\]]*\]", 0)
-    return F.when(raw != "", F.array_distinct(F.transform(F.from_json(raw, "array<string>"), F.trim)))
+    return F.when(raw != "", F.array_distinct(F.transform(F.from_json(raw, "array<string>"), lambda x: F.trim(x))))
 
 
 def error_type(gold: Column, pred: Column) -> Column:

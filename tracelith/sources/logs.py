@@ -26,7 +26,7 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
 
     Line numbers are those of the physical file, so a file is one row until it is split. Malformed lines raise.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "traceJSON-*.json").text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="traceJSON-*.json")
     raw = raw.select("value", F.col("_metadata.file_path").alias("source_file"))
     lines = raw.select("source_file", F.posexplode(F.split("value", "\n")).alias("pos_", "line")).where(F.trim("line") != "")
     rec = lines.select("source_file", (F.col("pos_") + 1).alias("line_idx"), F.from_json("line", TRACE, {"mode": "FAILFAST"}).alias("r"))
