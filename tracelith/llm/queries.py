@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, host_quality, licenses, ngram_join, packing, sanitize, sentencepiece_bpe, suffix_index, warc, weak_quality
+from . import embed_dedup, host_quality, licenses, ngram_join, oracles, packing, sanitize, sentencepiece_bpe, suffix_index, warc, weak_quality
 from .common import ship, table
 
 
@@ -64,4 +64,6 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_license_scan": op1_license_scan, "op3_quality_classifier": op3_quality_classifier, "op7_suffix_dedup": op7_suffix_dedup, "op8_ngram_join": op8_ngram_join, "op9_embedding_dedup": op9_embedding_dedup, "op4_pii": op4_pii, "op6_warc": op6_warc, "op2_sentencepiece": op2_sentencepiece, "op10_packing": op10_packing, "op5_quality_rules": op5_quality_rules}
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": licenses.oracle_sql(), "op5_quality_rules": oracles.OP5, "op8_ngram_join": oracles.OP8, "op9_embedding_dedup": oracles.OP9,
+}
