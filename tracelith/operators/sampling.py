@@ -63,3 +63,34 @@ def shards(df: DataFrame, key: str, n: int) -> DataFrame:
     at = cut.join(F.broadcast(before.join(F.broadcast(total))), "_range")  # 2 ** 12 rows at most
     rn = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy("_h", key)) - 1
     return at.withColumn("shard", F.floor(rn / F.ceil(F.col("_total") / n)).cast("long")).drop("_h", "_range", "_before", "_c", "_total")
+
+
+def proportional(sizes: dict[int, int], total: int) -> dict[int, int]:
+    """Targets of two labels: half-even share of label 1 kept in 1..n1, what one label lacks goes to the other."""
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    n, want = n0 + n1, min(total, n0 + n1)
+    if not want:
+        return {0: 0, 1: 0}
+    one = max(min(1, n1), min(n1, round(want * n1 / n)))
+    zero = min(n0, want - one)
+    return {0: zero, 1: min(n1, want - zero)}
+
+
+def run_split(runs: DataFrame, config: list[str], run: str, train: int = 4) -> DataFrame:
+    """split of each run: of every config the first `train` by hash order are train, the rest halves of val and test.
+
+    Configs with fewer runs than that are train altogether.
+    """
+    h = F.xxhash64(F.col(run))
+    w = Window.partitionBy(*config)
+    out = runs.withColumns({"_rn": F.row_number().over(w.orderBy(h, run)), "_n": F.count(F.lit(1)).over(w)})
+    rest = F.col("_rn") - train
+    split = F.when((F.col("_n") < train) | (rest <= 0), "train").when(2 * rest <= F.col("_n") - train, "val").otherwise("test")
+    return out.withColumn("split", split).drop("_rn", "_n")
+
+
+def fixed_sample(df: DataFrame, strata: list[str], key: str, total: int) -> DataFrame:
+    """total rows in proportion to the strata (largest remainder), by hash order in each."""
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
+    quota = largest_remainder(sizes, strata, total).select(*strata, F.least("quota", "n").alias("_quota"))
+    return bottom_k(df.join(F.broadcast(quota), strata), strata, key, F.col("_quota")).drop("_quota")  # a row a stratum

@@ -352,3 +352,40 @@ def ml2_logistic_baseline(spark, sf):
 
     m = messages(spark, sf).withColumns({"label": (F.col("flag") != 0).cast("int"), "train": F.pmod(F.xxhash64("id"), F.lit(5)) != 0})
     return train_eval(m, ["x", "y", "speed", "heading"], "label", "train", "lr")
+
+
+@query("sp6_fixed_sample", """WITH s AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT *, n * 500.0::DOUBLE / sum(n) OVER () AS exact FROM s), b AS (SELECT *, floor(exact) AS base FROM e),
+q AS (SELECT o_orderpriority, base + CASE WHEN row_number() OVER (ORDER BY round(exact - base, 9) DESC, o_orderpriority) <= 500 - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM b),
+r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY (o_orderkey * 2654435761) % 4294967296, o_orderkey) AS rn FROM orders) SELECT o_orderkey, o_orderpriority FROM r JOIN q USING (o_orderpriority) WHERE rn <= quota""")
+def sp6_fixed_sample(spark, sf):
+    return S.fixed_sample(load(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"], "o_orderkey", 500)
+
+
+@query("a21_value_counts", """SELECT CASE WHEN l_quantity > 25 THEN l_linestatus END AS status, count(*)::BIGINT AS n FROM lineitem GROUP BY 1""")
+def a21_value_counts(spark, sf):
+    return load(spark, sf, "lineitem").groupBy(F.when(F.col("l_quantity") > 25, F.col("l_linestatus")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a17_first_occurrence", """SELECT user_id, arg_min(event_type, epoch_us(ts)) AS first_type, count(*)::BIGINT AS n FROM events GROUP BY user_id""")
+def a17_first_occurrence(spark, sf):
+    e = load(spark, sf, "events")
+    key = F.unix_micros(F.col("ts").cast("timestamp"))  # unique for each user
+    return e.groupBy("user_id").agg(F.min_by("event_type", key).alias("first_type"), F.count(F.lit(1)).alias("n"))
+
+
+@query("a18_length_percentiles", """SELECT lang, count(*)::BIGINT AS n, round(quantile_cont(n_chars, 0.5), 4) AS p50, round(quantile_cont(n_chars, 0.9), 4) AS p90, round(quantile_cont(n_chars, 0.99), 4) AS p99, max(n_chars) AS longest, round(avg((n_chars > 5000)::INT), 6) AS over_budget FROM documents GROUP BY lang""")
+def a18_length_percentiles(spark, sf):
+    q = F.percentile("n_chars", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
+    d = load(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), q.alias("q"), F.max("n_chars").alias("longest"), F.round(F.avg((F.col("n_chars") > 5000).cast("int")), 6).alias("over_budget"))
+    return d.select("lang", "n", *(F.round(F.col("q")[i], 4).alias(p) for i, p in enumerate(("p50", "p90", "p99"))), "longest", "over_budget")
+
+
+@query("sp13_downsample", """SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R' OR ((l_orderkey + 3) * 2654435761) % 4294967296 < 0.25 * 4294967296""")
+def sp13_downsample(spark, sf):
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return li.where((F.col("l_returnflag") != "R") | (S.order_hash(F.col("l_orderkey"), 3) < 0.25 * S.MODULUS)).drop("l_returnflag")
+
+
+@query("f7_threshold_hits", f"""WITH {MSG_SQL} SELECT sender, (count(*) FILTER (x <= 20))::BIGINT AS n_le, (count(*) FILTER (x < 20))::BIGINT AS n_lt, (count(*) FILTER (x >= 20))::BIGINT AS n_ge, (count(*) FILTER (x > 20))::BIGINT AS n_gt FROM msg GROUP BY sender""")
+def f7_threshold_hits(spark, sf):
+    return messages(spark, sf).groupBy("sender").agg(*(F.sum(O.hit(F.col("x"), op, 20.0).cast("long")).alias(f"n_{op}") for op in ("le", "lt", "ge", "gt")))

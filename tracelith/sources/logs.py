@@ -48,5 +48,6 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
     """JSON lines, gzip by suffix. Strict raises on a malformed line; otherwise such lines are left out."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    got = spark.read.schema(schema + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return got.where("_corrupt is null").drop("_corrupt")
+    got = spark.read.text(path).where(F.trim("value") != "")
+    got = got.select(F.from_json("value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return got.select("r.*").where("_corrupt is null").drop("_corrupt")
