@@ -105,7 +105,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Null and empty texts have none; repeated rows give a row each; an empty table gives an empty one.
     """
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    clean = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9.,]+", " "))
+    clean = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9.]+", " "))
     marked = F.filter(F.split(text, SPLIT), lambda s: s.rlike(KEYWORDS))
     # Only texts with a keyword are split at all.
     sentences = F.when(text.rlike(KEYWORDS), F.transform(marked, clean)).otherwise(F.array().cast("array<string>"))
@@ -136,7 +136,7 @@ def oracle_sql() -> str:
     sql = f"""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents),
 s AS (SELECT doc_id, CASE WHEN regexp_matches(x, '{KEYWORDS}') THEN
   list_transform(list_filter(string_split_regex(x, '{split}'), lambda s: regexp_matches(s, '{KEYWORDS}')),
-    lambda s: trim(regexp_replace(s, '[^a-z0-9.,]+', ' ', 'g'))) ELSE [] END AS ss FROM t),
+    lambda s: trim(regexp_replace(s, '[^a-z0-9.]+', ' ', 'g'))) ELSE [] END AS ss FROM t),
 i AS (SELECT doc_id, list_transform(ss, lambda s: CASE {cases} ELSE '?' END) AS ids FROM s),
 r0 AS (SELECT doc_id, ids, array_to_string(list_transform(list_filter(ids, lambda x: x <> '?'), lambda x: '<' || x || '>'), '') AS lft, []::VARCHAR[] AS got FROM i)"""
     for k, (name, seq) in enumerate(RULES):
