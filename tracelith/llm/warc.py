@@ -171,7 +171,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                     out = None
         if out is not None:
             out.close()
-        yield pd.DataFrame({"path": paths})
+        if paths:
+            yield pd.DataFrame({"path": paths})
 
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha1(payload).alias("sha1")
