@@ -8,8 +8,8 @@ and its number) are candidates: passages that many documents share scatter over
 hold shingles of their own and make no candidates. A hashed bitmap's bit counts bound the overlap from
 above, and sorted-array intersection decides. Sets that are equal are one class throughout.
 
-Candidates come in two rounds: first every set with the first set of its segment group, then, for
-groups that still hold several components, pairs across components only. So a group of copies costs a
+Candidates come in rounds: in star rounds every set with one hub, the first set of a segment group, and
+at last, for groups that still hold several components, pairs across components only. So a group of copies costs a
 link each, and no link between different components is lost.
 """
 
@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import SEPARATORS, components, parts, written
 
-#: Bits of the bitmap signature, as longs.
-WORDS = 8
+#: Longs of the narrow bitmap signature, which goes with group members, and bits of the wide one, which tests pairs.
+WORDS, WIDE = 8, 4096
+#: Star rounds before pairs across components are compared.
+STARS = 2
+#: Signatures of a set that tell in which group a pair is compared.
+LISTED = 32
 #: Characters of text hashed at once.
 CHUNK = 4_000_000
 _TO_SPACE = {ord(c): " " for c in SEPARATORS[1:]} | {i: i + 32 for i in range(65, 91)}
@@ -137,10 +141,13 @@ def _chunks(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield b[ends == k]
 
 
-def _bitmaps(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    bits = np.zeros((n, WORDS * 64), bool)
-    bits[doc, (h % np.uint64(WORDS * 64)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(n, WORDS)
+def _bitmaps(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, list[bytes]]:
+    """Narrow bitmaps as longs, and wide ones; the narrow is the wide one folded."""
+    bits = np.zeros((n, WIDE), bool)
+    bits[doc, (h % np.uint64(WIDE)).astype(np.int64)] = True
+    narrow = bits.reshape(n, WIDE // (WORDS * 64), WORDS * 64).any(axis=1)
+    wide = np.packbits(bits, axis=1, bitorder="little")
+    return np.packbits(narrow, axis=1, bitorder="little").view("<i8").reshape(n, WORDS), [x.tobytes() for x in wide]
 
 
 def _set_ids(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -149,7 +156,7 @@ def _set_ids(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return _mix(out + size.astype(np.uint64)).view(np.int64)
 
 
-META = "doc_id long, size long, set_id long, bits array<long>, bucket int, blob binary"
+META = "doc_id long, size long, set_id long, bits array<long>, wide binary, bucket int, blob binary"
 
 
 def _scan(n: int, percent: int, buckets: int):
@@ -160,8 +167,8 @@ def _scan(n: int, percent: int, buckets: int):
             for b in _chunks(whole):
                 doc, h = shingles(b["text"].tolist(), n)
                 size = np.bincount(doc, minlength=len(b))
-                ids, bits = _set_ids(doc, h, size), _bitmaps(doc, h, len(b))
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "size": size, "set_id": ids, "bits": list(bits), "bucket": -1, "blob": None})
+                ids, (bits, wide) = _set_ids(doc, h, size), _bitmaps(doc, h, len(b))
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "size": size, "set_id": ids, "bits": list(bits), "wide": wide, "bucket": -1, "blob": None})
                 # Sets equal to an earlier one of the chunk have their signatures already.
                 _, one = np.unique(ids, return_index=True)
                 keep = np.zeros(len(b), bool)
@@ -177,7 +184,7 @@ def _scan(n: int, percent: int, buckets: int):
                 rows = [k for k in range(buckets) if cut[k] < cut[k + 1]]
                 if rows:
                     yield pd.DataFrame(
-                        {"doc_id": None, "size": None, "set_id": None, "bits": None, "bucket": rows, "blob": [pack[cut[k] : cut[k + 1]].tobytes() for k in rows]}
+                        {"doc_id": None, "size": None, "set_id": None, "bits": None, "wide": None, "bucket": rows, "blob": [pack[cut[k] : cut[k + 1]].tobytes() for k in rows]}
                     ).astype({"doc_id": "Int64", "size": "Int64", "set_id": "Int64"})
 
     return run
@@ -212,6 +219,21 @@ def _bound(percent: int) -> Column:
     return most * (100 + percent) >= percent * (F.col("asize") + F.col("bsize"))
 
 
+def _wide_bound(percent: int):
+    """The same bound by the wide bitmaps."""
+
+    @F.pandas_udf("boolean")
+    def possible(asize: pd.Series, bsize: pd.Series, abits: pd.Series, bbits: pd.Series) -> pd.Series:
+        if not len(asize):
+            return pd.Series([], dtype=bool)
+        x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (abits, bbits))
+        only_x, only_y = (np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) for p, q in ((x, y), (y, x)))
+        most = np.minimum(asize.to_numpy() - only_x, bsize.to_numpy() - only_y)
+        return pd.Series(most * (100 + percent) >= percent * (asize.to_numpy() + bsize.to_numpy()))
+
+    return possible
+
+
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those that link, by intersection of their sorted arrays (sets: set_id, shingles)."""
 
@@ -240,18 +262,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     buckets = 2 * parts(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scan = written(src.mapInPandas(_scan(n, percent, buckets), META), "shingled")
-    meta = scan.where("bucket = -1").select("doc_id", "size", "set_id", "bits")
+    meta = scan.where("bucket = -1").select("doc_id", "size", "set_id", "bits", "wide")
     blobs = scan.where("bucket >= 0").select("bucket", "blob")
     groups = written(blobs.repartition(buckets, "bucket").mapInPandas(_gather, "sig long, set_id long, hub long"), "groups")
     # One row per set that is in any group.
-    sets_meta = meta.where("size > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min("size").alias("size"), F.first("bits").alias("bits"))
+    sets_meta = meta.where("size > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min("size").alias("size"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     sets_meta = written(sets_meta, "sets")
     light = sets_meta.select("set_id", "size", "bits")
 
     def pruned(pairs: DataFrame) -> DataFrame:
-        la = light.select(F.col("set_id").alias("a"), F.col("size").alias("asize"), F.col("bits").alias("abits"))
-        lb = light.select(F.col("set_id").alias("b"), F.col("size").alias("bsize"), F.col("bits").alias("bbits"))
-        return pairs.join(la, "a").join(lb, "b").where(_bound(percent)).select("a", "b")
+        la = sets_meta.select(F.col("set_id").alias("a"), F.col("size").alias("asize"), F.col("wide").alias("abits"))
+        lb = sets_meta.select(F.col("set_id").alias("b"), F.col("size").alias("bsize"), F.col("wide").alias("bbits"))
+        return pairs.join(la, "a").join(lb, "b").where(_wide_bound(percent)("asize", "bsize", "abits", "bbits")).select("a", "b")
 
     def arrays(pairs: DataFrame) -> DataFrame:
         """Shingles of the sets in pairs, read again from one document each."""
@@ -270,18 +292,28 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         got = src.join(one, "doc_id", "left_semi").mapInPandas(run, "set_id long, shingles binary").join(need, "set_id", "left_semi")
         return got.dropDuplicates(["set_id"])
 
-    star = groups.where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
-    star = written(pruned(star), "star")
-    links = written(_exact(star, arrays(star), percent), "star-links")
-    comp = components(links).select(F.col("node").alias("set_id"), F.col("component").alias("c"))
-    member = groups.join(comp, "set_id", "left").select("sig", "set_id", "hub", F.coalesce("c", "set_id").alias("c"))
-    member = written(member, "members")
+    # Star rounds: every set with the one hub it shares most segments with, among those of other components.
+    links, member = None, groups.withColumns({"c": F.col("set_id"), "ch": F.col("hub")})
+    for _ in range(STARS):
+        shared = member.where("c <> ch").groupBy("set_id", "hub").agg(F.count(F.lit(1)).alias("k"))
+        best = shared.groupBy(F.col("set_id").alias("b")).agg(F.max_by("hub", F.struct("k", "hub")).alias("a"))
+        star = written(pruned(best.select("a", "b")), "star")
+        new = written(_exact(star, arrays(star), percent), "star-links")
+        links = new if links is None else links.union(new)
+        comp = written(components(links).select(F.col("node").alias("set_id"), F.col("component").alias("c")), "comp")
+        hubs = comp.select(F.col("set_id").alias("hub"), F.col("c").alias("ch"))
+        member = groups.join(comp, "set_id", "left").join(hubs, "hub", "left")
+        member = written(member.select("sig", "set_id", "hub", F.coalesce("c", "set_id").alias("c"), F.coalesce("ch", "hub").alias("ch")), "members")
     mixed = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    rest = written(member.join(mixed, "sig", "left_semi").join(light, "set_id"), "mixed")
-    left = rest.select("sig", F.col("set_id").alias("a"), F.col("c").alias("ca"), F.col("size").alias("asize"), F.col("bits").alias("abits"), F.col("hub").alias("h"))
-    right = rest.select("sig", F.col("set_id").alias("b"), F.col("c").alias("cb"), F.col("size").alias("bsize"), F.col("bits").alias("bbits"))
-    cross = left.join(right, "sig").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (F.col("a") != F.col("h")) & _bound(percent)).select("a", "b").distinct()
-    cross = written(cross, "cross")
+    rest = member.join(mixed, "sig", "left_semi")
+    # A pair shares up to all its segments; it is compared in the first that both list among their LISTED least.
+    listed = rest.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTED).alias("sigs"))
+    rest = written(rest.join(light, "set_id").join(listed, "set_id"), "mixed")
+    left = rest.select("sig", F.col("set_id").alias("a"), F.col("c").alias("ca"), F.col("size").alias("asize"), F.col("bits").alias("abits"), F.col("sigs").alias("asigs"))
+    right = rest.select("sig", F.col("set_id").alias("b"), F.col("c").alias("cb"), F.col("size").alias("bsize"), F.col("bits").alias("bbits"), F.col("sigs").alias("bsigs"))
+    first = F.coalesce(F.array_min(F.array_intersect("asigs", "bsigs")), F.col("sig")) == F.col("sig")
+    cross = left.join(right, "sig").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _bound(percent) & first).select("a", "b").distinct()
+    cross = written(pruned(written(cross, "cross")), "possible")
     more = written(_exact(cross, arrays(cross), percent), "cross-links")
     low = sets_meta.select("set_id", "low")
     edges = links.union(more)
