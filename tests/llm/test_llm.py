@@ -106,6 +106,12 @@ def test_sanitize(spark):
     assert clean[68] is None and clean[69] == "" and clean[70] == "no data"
 
 
+def test_sanitize_values_that_occur_once(spark):
+    texts = ["the quorvex wrote to jo@x.example.org about the plan"] + [f"the team wrote to ann{i}@y.example.org about the plan" for i in range(60)]
+    got = {x.doc_id: x.spans for x in sanitize.spans(docs(spark, texts + texts[:1])).collect()}
+    assert got[0] == got[61] == "term:4:11,email:21:37" and all(got[i] == brute_spans(texts[i]) for i in range(1, 61))
+
+
 def test_warc(spark):
     rows = [(5, "http://a", "x"), (3, None, "x"), (9, "u", None), (10, "u", ""), (11, "u\r\n", "é" * 99999)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

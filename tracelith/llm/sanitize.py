@@ -2,9 +2,10 @@
 
 Base spans (email, ip, card, phone) are found by linear scans. Around each, the words of a small
 window are its context. The corpus' co-occurrence of a term t with a protected value e, over distinct
-contexts, gives the disclosure PMI(t; e) / IC(e), in 0..1: how much of what identifies e is told by t
-alone. Terms at or above DISCLOSE are generalised, those at or above REMOVE are removed; both only
-with SUPPORT distinct contexts, so that copies of one document say nothing.
+contexts, so that copies of one document count once, gives the disclosure PMI(t; e) / IC(e), in 0..1:
+how much of what identifies e is told by t alone. P(e | t) is smoothed with PRIOR contexts dealt as the
+corpus is, so values that occur once are scored too. Terms at or above DISCLOSE are generalised, those
+at or above REMOVE are removed.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words of context on either side, least distinct contexts, and disclosure from which a term is generalised or removed.
-AROUND, SUPPORT, DISCLOSE, REMOVE = 4, 3, 0.8, 0.95
+#: Words of context on either side, contexts of the prior, and disclosure from which a term is generalised or removed.
+AROUND, PRIOR, DISCLOSE, REMOVE = 4, 1, 0.8, 0.95
 TERM = re.compile(r"[^\W_]{3,}")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -118,14 +119,15 @@ def detect(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = written(src.mapInPandas(_detect, FOUND), "spans")
     seen = found.where(F.size("contexts") > 0).select("row", F.explode("contexts").alias("c")).select("row", "c.*")
     pairs = seen.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    pairs = written(pairs.where(F.col("n_te") >= SUPPORT), "pairs")
+    pairs = written(pairs, "pairs")
     contexts = seen.select("entity", "context").distinct()
     n_e = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     n_t = seen.groupBy("term", "entity", "context").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = contexts.agg(F.count(F.lit(1)).alias("n"))
     scored = pairs.join(n_e, "entity").join(n_t, "term").join(F.broadcast(total))  # total: one row
     ic = F.log(F.col("n") / F.col("n_e"))
-    pmi = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
+    told = (F.col("n_te") + PRIOR * F.col("n_e") / F.col("n")) / (F.col("n_t") + PRIOR)  # P(e | t)
+    pmi = F.log(told * F.col("n") / F.col("n_e"))
     # An entity in every context identifies nothing; try_divide gives null there.
     tell = scored.withColumn("disclosure", F.try_divide(pmi, ic)).where(F.col("disclosure") >= DISCLOSE)
     tell = written(tell.select("entity", "term", F.when(F.col("disclosure") >= REMOVE, "drop").otherwise("term").alias("action")), "telling")
