@@ -112,6 +112,15 @@ def test_sanitize_values_that_occur_once(spark):
     assert got[0] == got[61] == "term:4:11,email:21:37" and all(got[i] == brute_spans(texts[i]) for i in range(1, 61))
 
 
+def test_sanitize_counts_terms_of_all_documents(spark):
+    far = "the plan of this year was read and kept by the board until summer came"
+    texts = [f"the quorvex wrote to jo@x.example.org about {far} quorvex", f"{far} quorvex {far} jo@x.example.org", f"{far} quorvex"]
+    texts += [f"the team wrote in {i + 100} about {far}" for i in range(80)] + [f"team {far} ann@y.example.org"]
+    got = {x.doc_id: x.spans for x in sanitize.spans(docs(spark, texts)).collect()}
+    marked = [[t[int(a) : int(z)] for k, a, z in (x.split(":") for x in got[i].split(",") if x) if k in ("term", "drop")] for i, t in enumerate(texts)]
+    assert marked[:3] == [["quorvex", "quorvex"], ["quorvex"], []] and not any(marked[3:])
+
+
 def test_warc(spark):
     rows = [(5, "http://a", "x"), (3, None, "x"), (9, "u", None), (10, "u", ""), (11, "u\r\n", "é" * 99999)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

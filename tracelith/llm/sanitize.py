@@ -1,17 +1,19 @@
-"""Personal data: fixed patterns, and information-theoretic sanitisation of the words around them.
-
-Base spans (email, ip, card, phone) are found by linear scans. Around each, the words of a small
-window are its context. The corpus' co-occurrence of a term t with a protected value e, over distinct
-contexts, so that copies of one document count once, gives the disclosure PMI(t; e) / IC(e), in 0..1:
-how much of what identifies e is told by t alone. P(e | t) is smoothed with PRIOR contexts dealt as the
-corpus is, so values that occur once are scored too. Terms at or above DISCLOSE are generalised, those
-at or above REMOVE are removed.
+"""Personal data: fixed patterns, and information-theoretic sanitisation of the other words.
+
+Base spans (email, ip, card, phone) are found by linear scans; the words outside them are terms. The
+co-occurrence of a term t with a protected value e, over all distinct documents (documents of the same
+terms and values count once), gives the disclosure PMI(t; e) / IC(e), in 0..1: how much of what
+identifies e is told by t alone. P(e | t) is smoothed with PRIOR documents dealt as the corpus is, so
+values that occur once are scored too. In documents that hold e, all occurrences of terms at or above
+DISCLOSE are generalised, those of terms at or above REMOVE are removed.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words of context on either side, contexts of the prior, and disclosure from which a term is generalised or removed.
-AROUND, PRIOR, DISCLOSE, REMOVE = 4, 1, 0.8, 0.95
+#: Documents of the prior, and disclosure from which a term is generalised or removed.
+PRIOR, DISCLOSE, REMOVE = 1, 0.8, 0.95
 TERM = re.compile(r"[^\W_]{3,}")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -83,31 +85,57 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else _digits(value)}"
 
 
-FOUND = "row long, doc_id long, spans string, contexts array<struct<entity: string, context: long, term: string, start: int, stop: int>>"
+FOUND = "row long, doc_id long, spans string, copy long, entities array<string>, terms array<struct<term: string, at: array<struct<start: int, stop: int>>>>, words binary"
+#: Terms that a counting task holds before it passes its counts on.
+HELD = 200_000
+
+
+def _terms(text: str, spans: list[tuple[int, int, str]]) -> dict[str, list[tuple[int, int]]]:
+    """Terms outside the base spans and where they stand."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    i, reach = 0, 0
+    for m in TERM.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            reach = max(reach, spans[i][1])
+            i += 1
+        if m.start() >= reach:
+            out.setdefault(m[0].lower(), []).append(m.span())
+    return out
 
 
 def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    had: set[int] = set()
     for b in batches:
         rows = []
         for row, doc, text in zip(b["row"], b["doc_id"], b["text"]):
             spans = base_spans(text) if text else []
-            contexts = []
-            for a, z, kind in spans:
-                # A window never looks further than 40 code points a word, so its cost is bounded.
-                lo, hi = max(0, a - 40 * AROUND), min(len(text), z + 40 * AROUND)
-                before = [m for m in TERM.finditer(text, lo, a) if m.start() > lo or lo == 0][-AROUND:]
-                after = [m for m in TERM.finditer(text, z, hi) if m.end() < hi or hi == len(text)][:AROUND]
-                near = [m for m in before + after if not any(x < m.end() and m.start() < y for x, y, _ in spans)]
-                terms = [m[0].lower() for m in near]
-                key = int.from_bytes(hashlib.blake2b(" ".join(sorted(set(terms))).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                e = _entity(kind, text[a:z])
-                contexts += [(e, key, t, m.start(), m.end()) for t, m in zip(terms, near)]
-            rows.append((row, doc, _spans_text(spans), contexts))
-        yield pd.DataFrame(rows, columns=["row", "doc_id", "spans", "contexts"])
+            at = _terms(text, spans) if spans else dict.fromkeys(x.lower() for x in set(TERM.findall(text or "")))
+            entities = sorted({_entity(kind, text[a:z]) for a, z, kind in spans})
+            words = "\n".join(sorted(at)).encode("utf-8", "surrogatepass")
+            key = words + b"\0" + "\n".join(entities).encode("utf-8", "surrogatepass")
+            copy = int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True)
+            # A task passes on the words of copies once.
+            new = bool(at) and copy not in had
+            if new:
+                had.add(copy)
+            rows.append((row, doc, _spans_text(spans), copy, entities, list(at.items()) if spans else [], zlib.compress(words, 1) if new else None))
+        yield pd.DataFrame(rows, columns=["row", "doc_id", "spans", "copy", "entities", "terms", "words"])
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    got: Counter[str] = Counter()
+    for b in batches:
+        for words in b["words"]:
+            got.update(zlib.decompress(words).decode("utf-8", "surrogatepass").split("\n"))
+            if len(got) > HELD:
+                yield pd.DataFrame(list(got.items()), columns=["term", "n"])
+                got.clear()
+    if got:
+        yield pd.DataFrame(list(got.items()), columns=["term", "n"])
 
 
 def detect(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Base spans of every row, and the disclosing terms beside them.
+    """Base spans of every row, and the disclosing terms of its values.
 
     First frame: row, doc_id, spans (base, comma-joined kind:start:end). Second: row, start, stop, action
     (term or drop) of added spans. A row is keyed by a hash of the row itself, so repeated rows share one
@@ -117,22 +145,29 @@ def detect(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     found = written(src.mapInPandas(_detect, FOUND), "spans")
-    seen = found.where(F.size("contexts") > 0).select("row", F.explode("contexts").alias("c")).select("row", "c.*")
-    pairs = seen.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    pairs = written(pairs, "pairs")
-    contexts = seen.select("entity", "context").distinct()
-    n_e = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    n_t = seen.groupBy("term", "entity", "context").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = contexts.agg(F.count(F.lit(1)).alias("n"))
-    scored = pairs.join(n_e, "entity").join(n_t, "term").join(F.broadcast(total))  # total: one row
+    new = found.where("words is not null")
+    total = F.broadcast(new.agg(F.count_distinct("copy").alias("n")))  # one row
+    n_t = written(new.select("copy", "words").dropDuplicates(["copy"]).select("words").mapInPandas(_count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")), "terms")
+    # Values of the same documents score alike, so they are one group: documents of many values cost no more than their groups.
+    holds = new.select("copy", F.explode("entities").alias("entity")).distinct()
+    groups = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor("copy").alias("x"), F.bit_xor(F.xxhash64("copy")).alias("y"))
+    group = ["n_e", "x", "y"]
+    held = written(holds.join(groups, "entity").select("copy", *group).distinct().crossJoin(total), "groups")
+    # n_te is n_e at most, so terms of more documents than this can't reach DISCLOSE.
+    most = F.col("n_e") * (1 + PRIOR / F.col("n")) * F.pow(F.col("n") / F.col("n_e"), F.lit(1 - DISCLOSE)) * (1 + 1e-9) - PRIOR
+    terms = new.where(F.size("entities") > 0).select("copy", F.explode("terms.term").alias("term")).distinct()
+    pairs = written(terms.join(n_t, "term").join(held.withColumn("most", most), "copy").where("n_t <= most").select("copy", "term", "n_t", "n", *group), "pairs")
+    scored = pairs.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("n_te"), F.max("n_t").alias("n_t"), F.max("n").alias("n"))
     ic = F.log(F.col("n") / F.col("n_e"))
     told = (F.col("n_te") + PRIOR * F.col("n_e") / F.col("n")) / (F.col("n_t") + PRIOR)  # P(e | t)
     pmi = F.log(told * F.col("n") / F.col("n_e"))
-    # An entity in every context identifies nothing; try_divide gives null there.
+    # An entity in every document identifies nothing; try_divide gives null there.
     tell = scored.withColumn("disclosure", F.try_divide(pmi, ic)).where(F.col("disclosure") >= DISCLOSE)
-    tell = written(tell.select("entity", "term", F.when(F.col("disclosure") >= REMOVE, "drop").otherwise("term").alias("action")), "telling")
-    added = seen.join(tell, ["entity", "term"]).select("row", "start", "stop", "action").distinct()
-    return found.select("row", "doc_id", "spans"), added.groupBy("row", "start", "stop").agg(F.min("action").alias("action"))
+    tell = tell.select(*group, "term", F.when(F.col("disclosure") >= REMOVE, "drop").otherwise("term").alias("action"))
+    marks = written(pairs.join(tell, [*group, "term"]).groupBy("copy", "term").agg(F.min("action").alias("action")), "telling")
+    stand = found.where(F.size("entities") > 0).select("row", "copy", F.explode("terms").alias("t")).select("row", "copy", "t.term", "t.at")
+    added = stand.join(marks, ["copy", "term"]).select("row", "action", F.explode("at").alias("at")).select("row", "at.start", "at.stop", "action").distinct()
+    return found.select("row", "doc_id", "spans"), added
 
 
 def spans(docs: DataFrame) -> DataFrame:
