@@ -86,3 +86,11 @@ def test_trace_files(spark, tmp_path):
 def test_metric_lines(spark):
     df = spark.createDataFrame([('METRICS_JSON: {"tp": 3}',), ("noise",)], "value string")
     assert [r.metrics.tp for r in logs.metrics_lines(df, "tp long").collect()] == [3]
+
+
+def test_baseline_sizes(spark):
+    from tracelith.operators.baselines import _model
+
+    rf, gbt, mlp, lr = (_model(k, 4) for k in ("rf", "gbt", "mlp", "lr"))
+    assert (rf.getNumTrees(), rf.getMaxDepth(), gbt.getMaxIter(), gbt.getMaxDepth(), gbt.getStepSize()) == (500, 30, 600, 6, 0.05)
+    assert (mlp.getLayers(), mlp.getMaxIter(), lr.getMaxIter()) == ([4, 256, 128, 2], 200, 2000)

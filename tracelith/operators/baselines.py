@@ -13,8 +13,8 @@ from .metrics import confusion
 def _model(kind: str, n: int):
     c = classification
     return {
-        "lr": lambda: c.LogisticRegression(featuresCol="scaled", maxIter=200), "nb": lambda: c.NaiveBayes(modelType="gaussian"), "rf": lambda: c.RandomForestClassifier(numTrees=100, maxDepth=15, seed=42),
-        "gbt": lambda: c.GBTClassifier(maxIter=60, maxDepth=6, stepSize=0.05, seed=42), "mlp": lambda: c.MultilayerPerceptronClassifier(featuresCol="scaled", layers=[n, 64, 32, 2], seed=42),
+        "lr": lambda: c.LogisticRegression(featuresCol="scaled", maxIter=2000), "nb": lambda: c.NaiveBayes(modelType="gaussian"), "rf": lambda: c.RandomForestClassifier(numTrees=500, maxDepth=30, seed=42),
+        "gbt": lambda: c.GBTClassifier(maxIter=600, maxDepth=6, stepSize=0.05, seed=42), "mlp": lambda: c.MultilayerPerceptronClassifier(featuresCol="scaled", layers=[n, 256, 128, 2], maxIter=200, seed=42),
         "svm": lambda: c.LinearSVC(featuresCol="scaled"),
     }[kind]()
 
