@@ -146,6 +146,31 @@ def test_salvage():
     assert [r.get("record_id") for *_, r in warc.salvage(plain)] == ["urn:page:1", None, "urn:page:3"]
 
 
+def test_salvage_inside_a_member():
+    r = random.Random(2)
+    block = lambda i: bytes(r.randrange(256) for _ in range(3000)) + b"%d" % i
+    made = [warc.make_record(f"urn:page:{i}", "http://x", b := block(i), warc.digest(b), len(b), None) for i in range(60)]
+    ids = lambda data: [x["record_id"] for *_, x in warc.salvage(data) if not x["problem"]]
+    gaps = lambda data: [(a, z) for a, z, x in warc.salvage(data) if x["problem"]]
+    all_ids = [f"urn:page:{i}" for i in range(60)]
+    bad = bytearray(b"".join(made))
+    bad[len(made[0]) + 600] ^= 255
+    one = warc._member(bytes(bad))
+    assert ids(one) == all_ids[:1] + all_ids[2:] and gaps(one) == [(0, len(one))]
+    whole = warc._member(b"".join(made))
+    after = warc._member(made[5])
+    assert len(ids(whole[: len(whole) * 9 // 10])) >= 53 and gaps(whole[:-9])
+    assert ids(whole[:-6] + b"zz" + whole[-4:]) == all_ids
+    assert ids(whole[:-6] + b"zz" + whole[-4:] + after) == all_ids + all_ids[5:6]
+    c = zlib.compressobj(0, zlib.DEFLATED, 31)
+    stored = bytearray(c.compress(b"".join(made)) + c.flush())
+    stored[-6] ^= 255
+    assert ids(bytes(stored) + after) == all_ids + all_ids[5:6]
+    torn = bytearray(whole)
+    torn[len(whole) // 2 : len(whole) // 2 + 400] = bytes(400)
+    assert ids(bytes(torn) + after)[:25] == all_ids[:25] and ids(bytes(torn) + after)[-1] == "urn:page:5"
+
+
 def test_suffix_dedup(spark):
     texts = TEXTS + ["ab" * 120, "ab" * 40 + "q" + "\x00" * 80, "\x00" * 90, TEXTS[20] + " tail " + TEXTS[30]]
     first, want = {}, {}

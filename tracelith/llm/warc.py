@@ -2,7 +2,9 @@
 
 The reader walks gzip members (or plain records). After a failed check - a broken member, a bad record
 header, a short block, a digest that doesn't match - it searches for the next valid member or version
-line, recovers the later records and logs the bytes between as a quarantined gap.
+line, recovers the later records and logs the bytes between as a quarantined gap. Inside a member the
+search runs over the inflated bytes, also over those before a break or cut; such an inner gap has the
+member's offsets and names the inflated bytes in its problem.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ MAGIC, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r?\n")
 LEVEL = 1
 #: An archive file is closed beyond this size, so that a reader's task stays small.
 ROLL = 32 << 20
-#: No record above this is taken for one; it bounds what a broken length can ask for.
-MOST = 1 << 30
 RECORDS = "path string, start long, stop long, record_id string, record_type string, refers_to string, target string, payload_digest string, payload_bytes long, payload binary, problem string"
 
 
@@ -69,7 +69,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     except (KeyError, ValueError):
         raise ValueError("no content length") from None
     start = end + 4
-    if length < 0 or length > MOST or start + length > len(data):
+    if length < 0 or start + length > len(data):
         raise ValueError("block is short")
     if data[start + length : start + length + 4] != b"\r\n\r\n":
         raise ValueError("block has another length")
@@ -88,30 +88,67 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     return record, start + length + 4
 
 
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The inflated bytes of the member at `at`, where it stops, and what broke it there, if anything did."""
+    view, d, out, pos = memoryview(data), zlib.decompressobj(31), [], at
+    try:
+        while not d.eof and pos < len(data):
+            # A broken step gives nothing of what it inflated, so a step after the last good state goes byte by byte.
+            last = d.copy()
+            out.append(d.decompress(view[pos : pos + (64 << 10)]))
+            pos = min(len(data), pos + (64 << 10))
+    except zlib.error as e:
+        try:
+            while pos < len(data):
+                out.append(last.decompress(view[pos : pos + 1]))
+                pos += 1
+        except zlib.error:
+            pass
+        return b"".join(out), pos, f"bad member: {e}"
+    if not d.eof:
+        return b"".join(out), len(data), "member is cut off"
+    return b"".join(out), pos - len(d.unused_data), None
+
+
+def _records(data: bytes) -> Iterator[dict]:
+    """The records of inflated bytes; a gap between them is a record with only its problem set."""
+    at, gap, why = 0, None, ""
+    while at < len(data):
+        try:
+            record, stop = parse_record(data, at)
+        except ValueError as e:
+            if gap is None:
+                gap, why = at, str(e)
+            line = VERSION.search(data, at + 1)
+            at = line.start() if line else len(data)
+            continue
+        if gap is not None:
+            yield {"problem": f"{why} (inflated bytes {gap} to {at})"}
+            gap = None
+        yield record
+        at = stop
+    if gap is not None:
+        yield {"problem": f"{why} (inflated bytes {gap} to {len(data)})"}
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict]]:
     """(start, stop, record) over an archive, gzip members or plain; a gap is a record with only its problem set."""
     at, size, gap, why = 0, len(data), None, ""
-    view = memoryview(data)
+    # Ids and digests of a broken member's records, and its end: they may stand in its stored blocks once
+    # more, where a block's header can fall into one of the two.
+    given, upto = set(), 0
     while at < size:
+        broken = None
         try:
             if data[at : at + 3] == MAGIC:
-                d = zlib.decompressobj(31)
-                out, pos = [], at
-                try:
-                    while not d.eof and pos < size:
-                        out.append(d.decompress(view[pos : pos + (64 << 10)]))
-                        pos = min(size, pos + (64 << 10))
-                except zlib.error as e:
-                    raise ValueError(f"bad member: {e}") from None
-                if not d.eof:
-                    raise ValueError("member is cut off")
-                stop = pos - len(d.unused_data)
-                whole, inner, got = b"".join(out), 0, []
-                while inner < len(whole):
-                    record, inner = parse_record(whole, inner)
-                    got.append(record)
+                whole, stop, broken = _inflate(data, at)
+                got = list(_records(whole))
+                if not any(r["problem"] is None for r in got) and (broken or got):
+                    raise ValueError(broken or got[0]["problem"].partition(" (")[0])
             else:
                 record, stop = parse_record(data, at)
+                if at < upto and not given.isdisjoint((record["record_id"], record["payload_digest"])):
+                    raise ValueError("in a broken member")
                 got = [record]
         except ValueError as e:
             if gap is None:
@@ -122,8 +159,15 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict]]:
         if gap is not None:
             yield gap, at, {"problem": why}
             gap = None
+        if broken:
+            # The break may show late, in what is the next member already: the search starts behind the magic.
+            given, upto = {r[k] for r in got if not r["problem"] for k in ("record_id", "payload_digest") if r[k]}, stop
+            member, line = data.find(MAGIC, at + 1), VERSION.search(data, at + 1)
+            stop = min(member if member >= 0 else size, line.start() if line else size)
         for record in got:
             yield at, stop, record
+        if broken:
+            gap, why = at, broken
         at = stop
     if gap is not None:
         yield gap, size, {"problem": why}
