@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelith.llm import host_quality, ngram_join, packing, sanitize, suffix_index
-from tracelith.llm.common import ship, written
+from tracelith.llm.common import row_keys, ship, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: words of a shingle, least similarity in percent.
@@ -27,24 +27,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays, once."""
+    """Of each group of near duplicates the smallest doc_id stays, once. Different texts of one id, or of null, are rows of their own."""
     ship(spark)
-    found = ngram_join.jaccard_components(docs, WORDS, PERCENT)
+    rows, _ = row_keys(docs)
+    found = ngram_join.jaccard_components(rows.select(F.col("_key").alias("doc_id"), "text"), WORDS, PERCENT)
     keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     keep = written(keep, "stay")
-    out = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    out = rows.join(keep.select(F.col("doc_id").alias("_key")), "_key", "left_semi")
     if not keep.where("rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+        out = out.dropDuplicates(["_key"])
     return out.select(*_columns(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that a smaller doc_id has go, with characters cut by that; emptied documents go."""
     ship(spark)
-    kept = suffix_index.remove_repeats(docs, digests=False)
+    rows, _ = row_keys(docs)
+    kept = suffix_index.remove_keyed(rows.select(F.col("_key").alias("doc_id"), "text"), digests=False)
     # decode() would put marks for bytes of a cut character; they belong to the removed passage.
-    clean = kept.where("n_removed = 0 or n_removed < n_bytes").select("doc_id", suffix_index.valid_text("kept").alias("text")).dropDuplicates(["doc_id"])
-    rest = docs.drop("text").join(clean, "doc_id")
+    clean = kept.where("n_removed = 0 or n_removed < n_bytes").select(F.col("doc_id").alias("_key"), suffix_index.valid_text("kept").alias("text")).dropDuplicates(["_key"])
+    rest = rows.drop("text").join(clean, "_key")
     if "n_chars" in docs.columns:
         rest = rest.withColumn("n_chars", F.length("text").cast("long"))
     return rest.select(*_columns(docs))

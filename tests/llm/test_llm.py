@@ -279,3 +279,21 @@ def test_pipeline(spark):
         d = common.written(stage(spark, d, ""), "t")
         n.append(d.count())
     assert n[:4] == [24, 12, 12, 12] and {r.doc_id for r in d.collect()} == set(range(12))
+
+
+def test_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    text = [" ".join(f"d{i}w{j}" for j in range(80)) for i in range(6)]
+    rows = docs(spark, [text[0], text[1], text[2], text[0], text[3], text[4], text[4]], [1, None, None, 7, 7, 8, 8])
+    d = common.written(corpus_pipeline.near_duplicates(spark, rows, ""), "t")
+    want = {(1, text[0]), (None, text[1]), (None, text[2]), (7, text[3]), (8, text[4])}
+    assert sorted(map(str, d.select("doc_id", "text").collect())) == sorted(str(d.sparkSession.createDataFrame([x], "doc_id long, text string").first()) for x in want)
+    left = corpus_pipeline.repeated_passages(spark, rows, "").collect()
+    assert {(r.doc_id, r.text) for r in left} == want
+    got = {(r.doc_id, r.kept_sha256): r.n_removed for r in suffix_index.remove_repeats(rows).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {(i, sha(t)): 0 for i, t in want} | {(7, sha("")): len(text[0])}
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        d = common.written(stage(spark, d, ""), "t")
+    assert d.where("doc_id is null and start = 0").count() == 2

@@ -39,6 +39,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with a long _key of its own for every distinct row (doc_id, text), and whether that is another than doc_id.
+
+    Keys follow the order of doc_id, null ids last. Only where a doc_id is null or has different texts,
+    doc_id itself is no key. Equal rows share a key.
+    """
+    row = F.xxhash64("doc_id", "text")
+    mixed = docs.groupBy("doc_id").agg(F.min(row).alias("low"), F.max(row).alias("high")).where("doc_id is null or low <> high")
+    if mixed.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id").cast("long")), False
+    order = [F.asc_nulls_last("doc_id"), F.asc("_row")]
+    rows = docs.select("doc_id", row.alias("_row")).groupBy("_row").agg(F.min("doc_id").alias("doc_id"))
+    rows = rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    # Written, so that the ids are the same wherever they are read.
+    keys = written(rows.withColumn("_key", F.monotonically_increasing_id()).select("_row", "_key"), "keys")
+    return docs.withColumn("_row", row).join(keys, "_row").drop("_row"), True
+
+
 def parts(spark: SparkSession, at_least: int = 12) -> int:
     """Reducers for hashed blobs: follows the session's shuffle partitions."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
