@@ -14,12 +14,25 @@ from pyspark.sql import functions as F
 SEPARATORS = " \t\n\x0b\x0c\r"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where that is unset (tests), a local one."""
+    """The folder all executors share: spark.checkpoint.dir, with the scheme of Spark's default file system if it names none.
+
+    Only where that is unset on a local master (tests), a temporary folder; unset on a cluster is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tracelith-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        path = _LOCAL.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="tracelith-")
+        _LOCAL[app] = path
+    if "://" not in path and not path.startswith("file:"):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
     return path.rstrip("/")
 
 
@@ -31,8 +44,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # Shuffle files go as soon as what they led to is written, not when the driver happens to collect garbage.
+    old = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables whose successors are written; nothing may read them any more."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(t._written_to)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,11 +79,12 @@ def row_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
     if mixed.isEmpty():
         return docs.withColumn("_key", F.col("doc_id").cast("long")), False
     order = [F.asc_nulls_last("doc_id"), F.asc("_row")]
-    rows = docs.select("doc_id", row.alias("_row")).groupBy("_row").agg(F.min("doc_id").alias("doc_id"))
+    rows = docs.select("doc_id", row.alias("_row")).distinct()
     rows = rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order)
     # Written, so that the ids are the same wherever they are read.
-    keys = written(rows.withColumn("_key", F.monotonically_increasing_id()).select("_row", "_key"), "keys")
-    return docs.withColumn("_row", row).join(keys, "_row").drop("_row"), True
+    keys = written(rows.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_hash"), F.monotonically_increasing_id().alias("_key")), "keys")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash"))
+    return docs.withColumn("_row", row).join(keys, same).drop("_row", "_id", "_hash"), True
 
 
 def parts(spark: SparkSession, at_least: int = 12) -> int:
@@ -72,19 +102,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct(),
         "edges",
     )
-    while True:
-        # Large star: every neighbour above u is linked to the smallest of u and its neighbours.
+    n = e.count()
+    while n:
+        # Large star: every neighbour above u is linked to the smallest of u and its neighbours. The minima are
+        # written, so that both sides of the join are plain shuffles and a hub's rows can be split.
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "large")
         # Small star: every neighbour below u, and u, are linked to the smallest of them.
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (
             large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_low.select("u", F.col("m").alias("v")))
         ).where("u <> v").distinct()
         nxt = written(small, "edges")
-        same = nxt.count() == e.count() and nxt.join(e, ["u", "v"], "left_anti").isEmpty()
-        e = nxt
+        m = nxt.count()
+        same = m == n and nxt.join(e, ["u", "v"], "left_anti").isEmpty()
+        discard(e, low, large, small_low)
+        e, n = nxt, m
         if same:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
