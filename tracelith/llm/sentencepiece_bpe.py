@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG, CACHE = 64, 500_000
+LONG, KEPT, CACHE = 4096, 64, 500_000
 #: Characters of texts handled at once.
 CHUNK = 4_000_000
 SLOT_BITS, FAR = 20, np.iinfo(np.int64).max
@@ -156,6 +156,26 @@ class PieceModel:
         at = [i for i in range(n) if alive[i]]
         return self._ids([sym[i] for i in at], word, [(i, end[i]) for i in at])
 
+    def _chosen(self, cand: np.ndarray, word: np.ndarray, sym: np.ndarray, rank: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Of the least-ranked pairs (positions cand) those that merge at once: each word's leftmost, and the others
+        that don't overlap one before them, unless a merge in the word makes a pair of lower rank, which comes first."""
+        begin = np.r_[True, (np.diff(cand) > 1) | (word[cand[1:]] != word[cand[:-1]])]
+        first = np.maximum.accumulate(np.where(begin, np.arange(len(cand)), 0))
+        pick = cand[(np.arange(len(cand)) - first) % 2 == 0]
+        lead = np.r_[True, word[pick[1:]] != word[pick[:-1]]]
+        if lead.all():
+            return pick
+        several = np.isin(word[pick], word[pick[~lead]])
+        p = pick[several]
+        after, before = np.minimum(p + 2, len(sym) - 1), np.maximum(p - 1, 0)
+        # To the left of a merge stands the symbol before it, or the merge that ends there.
+        joined = np.r_[False, p[1:] - p[:-1] == 2]
+        left = np.where(joined, np.r_[0, new[p[:-1]]], sym[before])
+        right_rank, _ = self._lookup(np.where((p + 2 < len(sym)) & (word[after] == word[p]), (new[p] << 21) | sym[after], -1))
+        left_rank, _ = self._lookup(np.where((p > 0) & (word[before] == word[p]), (left << 21) | new[p], -1))
+        lower = word[p[(right_rank < rank[p]) | (left_rank < rank[p])]]
+        return pick[lead | ~np.isin(word[pick], lower)]
+
     def _rounds(self, words: list[str]) -> None:
         """Merge rounds over all words at once; results go to self.known."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -177,7 +197,7 @@ class PieceModel:
             cand = np.flatnonzero((rank == each) & ~idle)
             if not len(cand):
                 break
-            left = cand[np.r_[True, word[cand[1:]] != word[cand[:-1]]]]
+            left = self._chosen(cand, word, sym, rank, new)
             sym[left] = new[left]
             stop[left] = stop[left + 1]
             stay = ~idle
@@ -208,13 +228,18 @@ class PieceModel:
         split = [_words(t) for t in texts]
         new = {w for ws in split for w in ws if w not in self.known}
         short = [w for w in new if len(w) <= LONG]
-        for w in new:
-            if len(w) > LONG:
-                self.known[w] = self._long(w)
+        long_ones = [w for w in new if len(w) > LONG]
+        for w in long_ones:
+            self.known[w] = self._long(w)
         if short:
             self._rounds(short)
         bos, eos, get = np.array([self.bos], "<u4").tobytes(), np.array([self.eos], "<u4").tobytes(), self.known.__getitem__
-        return [b"".join([bos, *map(get, ws), eos]) for ws in split]
+        out = [b"".join([bos, *map(get, ws), eos]) for ws in split]
+        # The cache holds words of up to KEPT characters, so its bytes are bounded with its entries.
+        for w in new:
+            if len(w) > KEPT:
+                del self.known[w]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, without the first one's leading space mark; bytes that form no UTF-8 give U+FFFD."""
@@ -276,7 +301,7 @@ def encode_decode(docs: DataFrame, model_path: str, digests: bool = False) -> Da
     A null or empty text is its begin and end ids and decodes to ''. Repeated rows give one row each;
     an empty table gives none; other columns are not read.
     """
-    finish, schema = (_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string") if digests else (_outputs, "doc_id long, ids binary, decoded string")
+    finish, schema = (_digests, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string") if digests else (_outputs, "doc_id string, ids binary, decoded string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(model_path)
@@ -288,5 +313,6 @@ def encode_decode(docs: DataFrame, model_path: str, digests: bool = False) -> Da
                 raw = m.encode_batch(texts[at[0] : at[-1] + 1])
                 yield finish(b["doc_id"].iloc[at], raw, m)
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInPandas(run, schema)
+    # Ids travel as text: beside nulls pandas would make them floats.
+    src = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return src.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
