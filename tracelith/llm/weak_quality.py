@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Bits of the hashed weights; documents the scorer is fitted on, those with the least hash of their id.
+#: Bits of the hashed weights; rows the scorer is fitted on, those with the least hash of id and text.
 BITS, SAMPLE = 16, 4000
 CACHE = 300_000
 LABELLERS = ("symbols", "capitals", "shouting", "variety", "length", "function_words", "word_length", "lines")
@@ -136,13 +136,13 @@ def classify(docs: DataFrame) -> DataFrame:
     A row without words has no features: its score is its posterior. Repeated rows score alike; an empty
     table gives an empty one.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "votes": [votes(t) for t in b["text"]]})
 
-    voted = written(src.mapInPandas(vote, "doc_id long, votes string"), "votes")
+    voted = written(src.mapInPandas(vote, "doc_id string, votes string"), "votes")
     seen = voted.groupBy("votes").count().orderBy("votes").collect()  # at most 3 ** 8 patterns
     _, _, post = fit_votes([r[0] for r in seen], [r[1] for r in seen])
     of = {r[0]: float(p) for r, p in zip(seen, post)}
@@ -151,8 +151,10 @@ def classify(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"f": [features(t) for t in b["text"]], "p": [of[votes(t)] for t in b["text"]]})
 
-    chosen = src.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    fit = src.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").mapInPandas(sample, "f array<int>, p double").toPandas()  # SAMPLE ids
+    # The SAMPLE rows of least hash: a bound on the hash, one number, picks them in one more pass.
+    h = F.xxhash64("doc_id", "text")
+    bound = src.select(h.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    fit = src.where(h <= F.lit(bound)).limit(SAMPLE).mapInPandas(sample, "f array<int>, p double").toPandas()
     rows = [list(x) for x in fit["f"]]
     order = sorted(range(len(rows)), key=lambda i: (rows[i], fit["p"].iloc[i]))
     weights, bias = fit_scorer([rows[i] for i in order], fit["p"].to_numpy(float)[order])
@@ -171,4 +173,5 @@ def classify(docs: DataFrame) -> DataFrame:
                 out.append((doc, v, round(p, 6), round(float(s), 6), bool(s >= 0.5)))
             yield pd.DataFrame(out, columns=["doc_id", "votes", "posterior", "score", "kept"])
 
-    return src.mapInPandas(score, "doc_id long, votes string, posterior double, score double, kept boolean")
+    # Ids travel as text: beside nulls pandas would make them floats.
+    return src.mapInPandas(score, "doc_id string, votes string, posterior double, score double, kept boolean").withColumn("doc_id", F.col("doc_id").cast("long"))
