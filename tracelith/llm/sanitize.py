@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -85,7 +85,7 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else _digits(value)}"
 
 
-FOUND = "row long, doc_id long, spans string, copy long, entities array<string>, terms array<struct<term: string, at: array<struct<start: int, stop: int>>>>, words binary"
+FOUND = "row binary, doc_id string, spans string, copy binary, entities array<string>, terms array<struct<term: string, at: array<struct<start: int, stop: int>>>>, words binary"
 #: Terms that a counting task holds before it passes its counts on.
 HELD = 200_000
 
@@ -104,7 +104,7 @@ def _terms(text: str, spans: list[tuple[int, int, str]]) -> dict[str, list[tuple
 
 
 def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    had: set[int] = set()
+    had: set[bytes] = set()
     for b in batches:
         rows = []
         for row, doc, text in zip(b["row"], b["doc_id"], b["text"]):
@@ -113,7 +113,7 @@ def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             entities = sorted({_entity(kind, text[a:z]) for a, z, kind in spans})
             words = "\n".join(sorted(at)).encode("utf-8", "surrogatepass")
             key = words + b"\0" + "\n".join(entities).encode("utf-8", "surrogatepass")
-            copy = int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True)
+            copy = hashlib.blake2b(key, digest_size=16).digest()
             # A task passes on the words of copies once.
             new = bool(at) and copy not in had
             if new:
@@ -134,6 +134,13 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(list(got.items()), columns=["term", "n"])
 
 
+def _row_key() -> Column:
+    """128 bits of hashes of doc_id and text, nulls marked."""
+    a = F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), F.col("doc_id"), F.col("text"))
+    b = F.xxhash64(F.lit(1), F.col("text"), F.col("doc_id"), F.col("text").isNull())
+    return F.unhex(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in (a, b))))
+
+
 def detect(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Base spans of every row, and the disclosing terms of its values.
 
@@ -142,7 +149,7 @@ def detect(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key and get the same spans. Null or empty text has no spans.
     """
     src = docs.select(
-        F.xxhash64(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+        _row_key().alias("row"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     found = written(src.mapInPandas(_detect, FOUND), "spans")
     new = found.where("words is not null")
@@ -150,7 +157,7 @@ def detect(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_t = written(new.select("copy", "words").dropDuplicates(["copy"]).select("words").mapInPandas(_count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")), "terms")
     # Values of the same documents score alike, so they are one group: documents of many values cost no more than their groups.
     holds = new.select("copy", F.explode("entities").alias("entity")).distinct()
-    groups = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor("copy").alias("x"), F.bit_xor(F.xxhash64("copy")).alias("y"))
+    groups = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor(F.xxhash64("copy")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), F.col("copy"))).alias("y"))
     group = ["n_e", "x", "y"]
     held = written(holds.join(groups, "entity").select("copy", *group).distinct().crossJoin(total), "groups")
     # n_te is n_e at most, so terms of more documents than this can't reach DISCLOSE.
@@ -167,11 +174,16 @@ def detect(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = written(pairs.join(tell, [*group, "term"]).groupBy("copy", "term").agg(F.min("action").alias("action")), "telling")
     stand = found.where(F.size("entities") > 0).select("row", "copy", F.explode("terms").alias("t")).select("row", "copy", "t.term", "t.at")
     added = stand.join(marks, ["copy", "term"]).select("row", "action", F.explode("at").alias("at")).select("row", "at.start", "at.stop", "action").distinct()
-    return found.select("row", "doc_id", "spans"), added
+    # Ids travel as text: beside nulls pandas would make them floats.
+    return found.select("row", F.col("doc_id").cast("long").alias("doc_id"), "spans"), added
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, sha256 of the base spans and all spans, of every row of docs (doc_id, text)."""
+    """doc_id, counts of the base kinds, sha256 of the base spans and all spans, of every row of docs (doc_id, text).
+
+    Null and empty texts have no spans; repeated rows give a row each with the same spans; rows that share a
+    doc_id or have none are told apart by their texts. Other columns are not read. An empty table gives an empty one.
+    """
     found, added = detect(docs)
     more = added.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "action"))).alias("more"))
     out = found.join(more, "row", "left")
@@ -195,7 +207,7 @@ def sanitize(docs: DataFrame) -> DataFrame:
     """
     _, added = detect(docs)
     more = added.groupBy("row").agg(F.collect_list(F.struct("start", "stop", "action")).alias("more")).withColumnRenamed("row", "_row")
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), F.col("text"))).join(more, "_row", "left")
+    keyed = docs.withColumn("_row", _row_key()).join(more, "_row", "left")
 
     @F.pandas_udf("string")
     def mask(text: pd.Series, more: pd.Series) -> pd.Series:
