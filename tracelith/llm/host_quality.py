@@ -16,6 +16,8 @@ SYMBOLS = "#*$%&|<>"
 RULES = ("base", "symbols", "dup_lines")
 #: A host with a shrunken rate above REJECT in any rule goes; above SUSPECT its failing documents go.
 REJECT, SUSPECT = 0.9, 0.6
+#: Least and most documents that the prior counts as.
+LEAST, MOST = 2.0, 1000.0
 
 
 def _repeat_words(words: Column) -> Column:
@@ -57,6 +59,13 @@ def _repeat_words(words: Column) -> Column:
     return F.get(F.transform(F.array(words), of), F.lit(0))
 
 
+def _row_key() -> list[Column]:
+    """A row's two independent 64-bit hashes, nulls marked."""
+    marks = [F.col(c).isNull() for c in ("doc_id", "text", "source")]
+    cols = [F.col("doc_id"), F.col("text"), F.col("source")]
+    return [F.xxhash64(*marks, *cols).alias("row"), F.xxhash64(F.lit(11), *reversed(cols), *marks).alias("row2")]
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, host and the base counts of each document. Null text counts as no words; a null source is the host ''."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -67,7 +76,7 @@ def measure(docs: DataFrame) -> DataFrame:
     n_lines = F.get(F.transform(F.array(lines), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))), F.lit(0))
     stats = F.get(F.transform(F.array(words), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r"))), F.lit(0))
     out = docs.select(
-        "doc_id", F.xxhash64(F.col("doc_id"), F.col("text"), F.col("source")).alias("row"),
+        "doc_id", *_row_key(),
         F.coalesce(F.lower(F.trim(F.col("source").cast("string"))), F.lit("")).alias("host"),
         stats.alias("w"),
         F.length(solid).cast("long").alias("word_chars"),
@@ -75,7 +84,7 @@ def measure(docs: DataFrame) -> DataFrame:
         n_lines.alias("l"),
     )
     return out.select(
-        "doc_id", "row", "host", F.col("w.n").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", "row", "row2", "host", F.col("w.n").alias("n_words"), "word_chars", "n_symbols",
         (F.col("l.n") - F.col("l.d")).cast("long").alias("n_dup_lines"), F.col("l.n").cast("long").alias("n_lines"), F.col("w.r").alias("n_repeat_words"),
     )
 
@@ -93,17 +102,28 @@ def failures(measured: DataFrame) -> DataFrame:
 def host_verdicts(failed: DataFrame) -> DataFrame:
     """One row per host: documents, shrunken rate of each rule, verdict pass, suspect or reject.
 
-    The beta prior of each rule comes from the mean m and variance v of the hosts' raw rates by the
-    method of moments: strength m(1-m)/v - 1 (0 to 1000), rate (k + m * strength) / (n + strength).
+    The beta prior of each rule comes from the hosts' failures by beta-binomial moments: with the mean
+    m = sum k / sum n, the weighted squares S = sum n (k / n - m)^2 exceed what sampling alone gives,
+    m (1 - m) (hosts - 1), by the share rho of the variance that is the hosts' own; the prior's strength is
+    1 / rho - 1, kept in LEAST..MOST. The rate is (k + m * strength) / (n + strength). Where nothing tells
+    rho (hosts of one document each, or no spread beyond sampling), the strength is MOST.
     """
     hosts = failed.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(F.col(f"f_{r}").cast("long")).alias(f"k_{r}") for r in RULES)
     )
-    prior = hosts.agg(*(x for r in RULES for x in (F.avg(F.col(f"k_{r}") / F.col("n")).alias(f"m_{r}"), F.var_pop(F.col(f"k_{r}") / F.col("n")).alias(f"v_{r}"))))
-    out = hosts.join(F.broadcast(prior))  # one row
+    sums = [F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("all"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares")]
+    for r in RULES:
+        sums += [F.sum(f"k_{r}").alias(f"t_{r}"), F.sum(F.col(f"k_{r}").cast("double") * F.col(f"k_{r}") / F.col("n")).alias(f"q_{r}")]
+    out = hosts.join(F.broadcast(hosts.agg(*sums)))  # one row
+    left = F.col("hosts") - 1
+    spread = F.col("all") - F.col("squares") / F.col("all") - left
     for r in RULES:
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        strength = F.when(v > 1e-12, F.least(F.lit(1000.0), F.greatest(F.lit(0.0), m * (1 - m) / v - 1))).otherwise(F.lit(1000.0))
+        m = F.col(f"t_{r}") / F.col("all")
+        own = F.try_divide(F.col(f"q_{r}") - F.col(f"t_{r}") * m, m * (1 - m)) - left
+        told = (m > 0) & (m < 1) & (spread > 1e-9)
+        # rho = own / spread, so 1 / rho - 1 = spread / own - 1.
+        strength = F.when(told & (own * (MOST + 1) > spread), F.greatest(F.lit(LEAST), F.try_divide(spread, own) - 1)).otherwise(F.lit(MOST))
+        strength = F.when((m > 0) & (m < 1), strength).otherwise(F.lit(MOST))
         out = out.withColumn(f"rate_{r}", (F.col(f"k_{r}") + m * strength) / (F.col("n") + strength))
     worst = F.greatest(*(F.col(f"rate_{r}") for r in RULES))
     return out.select(
@@ -113,10 +133,11 @@ def host_verdicts(failed: DataFrame) -> DataFrame:
 
 
 def filter_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality() keeps, all columns. Rows are told apart by a hash of doc_id, text and source."""
-    keep = _judged(docs).where("kept").select(F.col("row").alias("_row")).distinct()
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), F.col("text"), F.col("source")))
-    return keyed.join(keep, "_row", "left_semi").drop("_row")
+    """The rows of docs that quality() keeps, all columns. Rows are told apart by 128 bits of hashes of doc_id, text and source."""
+    keep = _judged(docs).where("kept").select(F.col("row").alias("_row"), F.col("row2").alias("_row2")).distinct()
+    row, row2 = _row_key()
+    keyed = docs.withColumns({"_row": row, "_row2": row2})
+    return keyed.join(keep, ["_row", "_row2"], "left_semi").drop("_row", "_row2")
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -126,7 +147,7 @@ def quality(docs: DataFrame) -> DataFrame:
     an empty table gives an empty one. Only hosts that don't pass are joined back, by the planner's
     choice of broadcast (below its size limit) or a sort-merge join that adaptive execution splits on hot hosts.
     """
-    return _judged(docs).drop("row")
+    return _judged(docs).drop("row", "row2")
 
 
 def _judged(docs: DataFrame) -> DataFrame:
@@ -137,6 +158,6 @@ def _judged(docs: DataFrame) -> DataFrame:
     soft = F.col("f_symbols") | F.col("f_dup_lines")
     keep = ~F.col("f_base") & ~(verdict == "reject") & ~((verdict == "suspect") & soft)
     return out.select(
-        "doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "row", "row2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.col("f_base").alias("base_failed"), keep.alias("kept"), verdict.alias("host_verdict"),
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from .host_quality import REJECT, RULES, SUSPECT, SYMBOLS
+from .host_quality import LEAST, MOST, REJECT, RULES, SUSPECT, SYMBOLS
 
 _SEP = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-_RATE = "CASE WHEN v_{r} > 1e-12 THEN least(1000.0::DOUBLE, greatest(0.0::DOUBLE, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE 1000.0::DOUBLE END"
-_WORST = ", ".join(f"(k_{r} + m_{r} * s_{r}) / (n + s_{r})" for r in RULES)
+_OWN = "(q_{r} - t_{r} * (t_{r} / total)) / (t_{r} / total * (1 - t_{r} / total)) - (hosts - 1)"
+_STRENGTH = "CASE WHEN t_{r} > 0 AND t_{r} < total AND spread > 1e-9 AND own_{r} * ({most} + 1) > spread THEN greatest({least}::DOUBLE, spread / own_{r} - 1) ELSE {most}::DOUBLE END"
+_WORST = ", ".join(f"(k_{r} + t_{r} / total * s_{r}) / (n + s_{r})" for r in RULES)
 
 OP5 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x, lower(trim(coalesce(source, ''))) AS host FROM documents),
 w AS (SELECT doc_id, host, x, list_filter(string_split(translate(x, {_SEP}, '     '), ' '), lambda s: s <> '') AS ws,
@@ -18,8 +19,9 @@ m AS (SELECT w.doc_id, host, len(ws)::BIGINT AS n_words, length(translate(x, ' '
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS f_base, 2 * n_symbols > n_words AS f_symbols, 10 * n_dup_lines > 3 * greatest(n_lines, 1) AS f_dup_lines FROM m),
 h AS (SELECT host, count(*) AS n, {', '.join(f'sum(f_{r}::INT) AS k_{r}' for r in RULES)} FROM f GROUP BY host),
-p AS (SELECT {', '.join(f'avg(k_{r} / n) AS m_{r}, var_pop(k_{r} / n) AS v_{r}' for r in RULES)} FROM h),
-s AS (SELECT h.*, p.*, {', '.join(_RATE.format(r=r) + f' AS s_{r}' for r in RULES)} FROM h, p),
+p AS (SELECT count(*) AS hosts, sum(n)::DOUBLE AS total, sum(n::DOUBLE * n) AS squares, {', '.join(f'sum(k_{r})::DOUBLE AS t_{r}, sum(k_{r}::DOUBLE * k_{r} / n) AS q_{r}' for r in RULES)} FROM h),
+o AS (SELECT *, total - squares / total - (hosts - 1) AS spread, {', '.join(f'CASE WHEN t_{r} > 0 AND t_{r} < total THEN {_OWN.format(r=r)} END AS own_{r}' for r in RULES)} FROM p),
+s AS (SELECT h.*, o.*, {', '.join(_STRENGTH.format(r=r, least=LEAST, most=MOST) + f' AS s_{r}' for r in RULES)} FROM h, o),
 v AS (SELECT host, CASE WHEN greatest({_WORST}) > {REJECT} THEN 'reject' WHEN greatest({_WORST}) > {SUSPECT} THEN 'suspect' ELSE 'pass' END AS host_verdict FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_base AS base_failed,
   NOT f_base AND host_verdict <> 'reject' AND NOT (host_verdict = 'suspect' AND (f_symbols OR f_dup_lines)) AS kept, host_verdict FROM f JOIN v USING (host)"""
