@@ -88,9 +88,31 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     return record, start + length + 4
 
 
+class _Next:
+    """Positions of the next gzip magic and version line; each is searched again only when it is passed."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.member, self.line = data, -1, -1
+
+    def after(self, at: int) -> int:
+        """The first of either behind `at`."""
+        size = len(self.data)
+        if self.member <= at:
+            found = self.data.find(MAGIC, at + 1)
+            self.member = found if found >= 0 else size
+        if self.line <= at:
+            m = VERSION.search(self.data, at + 1)
+            self.line = m.start() if m else size
+        return min(self.member, self.line)
+
+
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
     """The inflated bytes of the member at `at`, where it stops, and what broke it there, if anything did."""
     view, d, out, pos = memoryview(data), zlib.decompressobj(31), [], at
+    try:  # most false magics break within the first bytes
+        zlib.decompressobj(31).decompress(view[at : at + 512], 16)
+    except zlib.error as e:
+        return b"", at, f"bad member: {e}"
     try:
         while not d.eof and pos < len(data):
             # A broken step gives nothing of what it inflated, so a step after the last good state goes byte by byte.
@@ -112,15 +134,16 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
 
 def _records(data: bytes) -> Iterator[dict]:
     """The records of inflated bytes; a gap between them is a record with only its problem set."""
-    at, gap, why = 0, None, ""
+    at, gap, why, following = 0, None, "", _Next(data)
     while at < len(data):
         try:
             record, stop = parse_record(data, at)
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
-            line = VERSION.search(data, at + 1)
-            at = line.start() if line else len(data)
+            if following.line <= at:
+                following.after(at)
+            at = following.line
             continue
         if gap is not None:
             yield {"problem": f"{why} (inflated bytes {gap} to {at})"}
@@ -133,7 +156,7 @@ def _records(data: bytes) -> Iterator[dict]:
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict]]:
     """(start, stop, record) over an archive, gzip members or plain; a gap is a record with only its problem set."""
-    at, size, gap, why = 0, len(data), None, ""
+    at, size, gap, why, following = 0, len(data), None, "", _Next(data)
     # Ids and digests of a broken member's records, and its end: they may stand in its stored blocks once
     # more, where a block's header can fall into one of the two.
     given, upto = set(), 0
@@ -153,8 +176,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict]]:
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
-            member, line = data.find(MAGIC, at + 1), VERSION.search(data, at + 1)
-            at = min(member if member >= 0 else size, line.start() if line else size)
+            at = following.after(at)
             continue
         if gap is not None:
             yield gap, at, {"problem": why}
@@ -162,8 +184,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict]]:
         if broken:
             # The break may show late, in what is the next member already: the search starts behind the magic.
             given, upto = {r[k] for r in got if not r["problem"] for k in ("record_id", "payload_digest") if r[k]}, stop
-            member, line = data.find(MAGIC, at + 1), VERSION.search(data, at + 1)
-            stop = min(member if member >= 0 else size, line.start() if line else size)
+            stop = following.after(at)
         for record in got:
             yield at, stop, record
         if broken:
@@ -188,7 +209,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
     Of rows with equal payloads of at least `least` bytes, the smallest page_id is a response and the
     others revisit it. Null html is an empty payload; a null url has no target. Of repeated page_ids
-    with the same payload all rows are responses if that id is the smallest.
+    with the same payload all rows are responses if that id is the smallest. Rows without a page_id are
+    responses too and bear the record id urn:page:null. Other columns are not read.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("sha1"), F.length(payload).alias("n"))
@@ -207,7 +229,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                     out, k, size = _open(paths[-1], "w"), k + 1, 0
                 data = (html or "").encode("utf-8", "surrogatepass")
                 b32 = base64.b32encode(bytes.fromhex(sha1)).decode()
-                member = _member(make_record(f"urn:page:{page}", url, data, b32, len(data), None if pd.isna(first) else f"urn:page:{int(first)}"))
+                member = _member(make_record(f"urn:page:{page}", url, data, b32, len(data), first and f"urn:page:{first}"))
                 out.write(member)
                 size += len(member)
                 if size >= ROLL:
@@ -221,6 +243,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha1(payload).alias("sha1")
     ).join(revisits, ["page_id", "sha1"], "left")
+    # Numbers as text: pandas would make them floats beside nulls.
+    rows = rows.select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page_id"), "url", "html", "sha1", F.col("first").cast("string").alias("first"))
     # Paths come from finished attempts only; files of lost ones are never read.
     return written(rows.mapInPandas(write, "path string"), "archives")
 
@@ -252,10 +276,14 @@ def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record read back from the written archives."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record read back from the written archives.
+
+    One row per row of pages (page_id, url, html); see write_archives for nulls and repeated rows. An empty
+    table gives an empty one.
+    """
     spark = pages.sparkSession
     got = read_archives(write_archives(pages, new_path(spark, "warc"), least), payloads=False)
-    number = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1)
+    number = lambda c: F.nullif(F.regexp_extract(c, r"urn:page:(-?\d+)", 1), F.lit(""))
     return got.where("problem is null").select(
         number("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("refers_to").isNotNull(), number("refers_to").cast("long")).alias("refers_to"),
