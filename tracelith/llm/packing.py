@@ -3,8 +3,9 @@
 Each partition keeps a fixed number of open windows. A document's full windows leave at once; its
 rest goes best-fit into an open window. When none fits, the fullest window is topped up with a cut
 of the rest and emitted. At a partition's end the open windows are cut into runs of power-of-two
-length, and a tree of merges over partitions joins equal runs, as carries in binary addition, into
-full windows; what stays has power-of-two lengths, so no sequence needs padding.
+length, and a tree of merges over FAN_IN neighbouring partitions each joins equal runs, as carries in
+binary addition, into full windows, which leave the tree; what stays has power-of-two lengths, so no
+sequence needs padding.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from .common import written
 WINDOW, OPEN, FAN_IN = 2048, 32, 64
 END_ID = 1
 SPECIAL = {"<|endoftext|>"}
+_KINDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+SCHEMA = pa.schema([*((c, pa.int64()) for c in _KINDS), ("run", pa.int32()), ("part", pa.int64())])
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, run int, part long"
 
 
@@ -114,58 +117,61 @@ class _Packer:
 def pack_documents(docs: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
     """Pieces of all rows of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is its end id alone; repeated rows are packed each on their own; an empty
-    table gives no pieces. Other columns are not read.
+    A null or empty text is its end id alone; repeated rows and rows without a doc_id are packed each on
+    their own; an empty table gives no pieces. Other columns are not read.
     """
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import array
 
         from pyspark import TaskContext
 
         packer, encode = _Packer(TaskContext.get().partitionId()), _encoder(json_path, ranks_path)
-        names = [c.split()[0] for c in PIECES.split(", ")]
         for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"]):
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 ids = encode(text) if text else []
                 ids.append(END_ID)
                 packer.add(doc, array.array("I", ids).tobytes())
             if packer.rows:
-                yield pd.DataFrame(packer.rows, columns=names)
+                yield _table(packer.rows).to_batches()[0]
                 packer.rows = []
         packer.close()
         if packer.rows:
-            yield pd.DataFrame(packer.rows, columns=names)
+            yield _table(packer.rows).to_batches()[0]
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = written(src.mapInPandas(pack, PIECES), "pieces")
+    pieces = written(src.mapInArrow(pack, PIECES), "pieces")
     done = pieces.where("run = 0")
     runs = pieces.where("run > 0")
-    n = runs.select("part").distinct().count()
-    while n > 1:
-        n, runs = -(-n // FAN_IN), _merge(runs, -(-n // FAN_IN))
-    return done.unionByName(runs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    while runs.agg(F.max("part")).first()[0]:
+        merged = written(runs.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("part").applyInArrow(_merge, PIECES), "runs")
+        # Full windows leave; only runs go on, so a merge's input doesn't depend on the data's size.
+        done = done.unionByName(merged.where("run = 0"))
+        runs = merged.where("run > 0")
+    return done.unionByName(runs).select(*_KINDS)
 
 
-def _merge(runs: DataFrame, n: int) -> DataFrame:
-    """Join equal runs of FAN_IN neighbouring parts into larger ones; run lengths and piece offsets change, ids don't.
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
 
-    A group has at most FAN_IN parts of at most 11 runs each, so its size doesn't depend on the data.
-    """
 
-    def merge(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        by_size: dict[int, list] = {1 << k: [] for k in range(12)}
-        for (size, _), rows in sorted(g.groupby(["run", "sequence_id"]), key=lambda x: x[0]):
-            by_size[size].append(rows.sort_values("offset"))
-        for k in range(11):
-            at = by_size[1 << k]
-            while len(at) >= 2:
-                x, y = at.pop(0), at.pop(0)
-                y = y.assign(offset=y["offset"] + (1 << k))
-                by_size[2 << k].append(pd.concat([x, y]))
-        out = [x.assign(run=k, sequence_id=x["sequence_id"].iloc[0], part=key[0]) for k, xs in by_size.items() for x in xs]
-        return pd.concat(out)[list(g.columns)]
-
-    return written(
-        runs.withColumn("part", F.expr(f"pmod(xxhash64(part), {n})")).groupBy("part").applyInPandas(merge, PIECES), "runs"
-    )
+def _merge(key: tuple, runs: pa.Table) -> pa.Table:
+    """Join equal runs of FAN_IN neighbouring parts into larger ones, up to full windows (run 0); ids don't change.
+
+    A group has at most FAN_IN parts of at most 11 runs each.
+    """
+    held: dict[tuple[int, int], list[tuple]] = {}
+    for r in zip(*(runs.column(c).to_pylist() for c in SCHEMA.names)):
+        held.setdefault((r[7], r[5]), []).append(r)
+    by_size: dict[int, list[list[tuple]]] = {1 << k: [] for k in range(12)}
+    for size, seq in sorted(held):
+        by_size[size].append(sorted(held[size, seq], key=lambda r: r[6]))
+    out: list[tuple] = []
+    for k in range(12):
+        size, at = 1 << k, by_size[1 << k]
+        while size < WINDOW and len(at) >= 2:
+            x, y = at.pop(0), at.pop(0)
+            by_size[2 * size].append(x + [(*r[:6], r[6] + size, *r[7:]) for r in y])
+        for pieces in at:
+            out += [(*r[:5], pieces[0][5], r[6], 0 if size == WINDOW else size, key[0].as_py()) for r in pieces]
+    return _table(out)
