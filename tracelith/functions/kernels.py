@@ -54,13 +54,13 @@ def soft_score(v: Column, bound: Column | float, tol: Column | float) -> Column:
 
 
 def lens_area(d: Column, r: Column, s: Column) -> Column:
-    """Area common to circles of radius r and s whose centres are d apart."""
+    """Area common to circles of radius r and s whose centres are d apart; 0 if a radius is not above 0."""
     unit = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
     safe = F.greatest(d, F.lit(1e-12))
-    alpha, beta = unit((safe * safe + r * r - s * s) / (2 * safe * r)), unit((safe * safe + s * s - r * r) / (2 * safe * s))
+    alpha, beta = unit(F.try_divide(safe * safe + r * r - s * s, 2 * safe * r)), unit(F.try_divide(safe * safe + s * s - r * r, 2 * safe * s))
     root = F.sqrt(F.greatest(F.lit(0.0), (-safe + r + s) * (safe + r - s) * (safe - r + s) * (safe + r + s)))
     small = F.least(r, s)
-    return F.when(d >= r + s, 0.0).when(d <= F.abs(r - s), math.pi * small * small).otherwise(r * r * alpha + s * s * beta - 0.5 * root)
+    return F.when((r <= 0) | (s <= 0) | (d >= r + s), 0.0).when(d <= F.abs(r - s), math.pi * small * small).otherwise(r * r * alpha + s * s * beta - 0.5 * root)
 
 
 def range_score(d: Column, conf: Column) -> Column:
@@ -68,8 +68,10 @@ def range_score(d: Column, conf: Column) -> Column:
 
 
 def speed_score(v: Column, conf: Column) -> Column:
+    """The sign of v and of the confidence doesn't matter; a confidence of 0 makes a step."""
+    v, conf = F.abs(v), F.greatest(F.abs(conf), F.lit(1e-9))
     half = conf / 2
-    return F.when(v + half < MAX_SPEED, 1.0).when(v - half > MAX_SPEED, 0.0).otherwise(clamp((half + (MAX_SPEED - v)) / conf, 0.0, 1.0))
+    return F.when(v.isNull() | conf.isNull(), None).when(v + half < MAX_SPEED, 1.0).when(v - half > MAX_SPEED, 0.0).otherwise(clamp((half + (MAX_SPEED - v)) / conf, 0.0, 1.0))
 
 
 def position_score(d: Column, dt: Column, conf: Column) -> Column:
@@ -101,7 +103,7 @@ def position_max_speed_score(d: Column, v: Column, v0: Column, dt: Column, conf:
 
 
 def frequency_score(dt: Column) -> Column:
-    return F.when(dt.isNotNull(), F.when(dt < MIN_BEACON_GAP, 0.0).otherwise(1.0))
+    return F.when(dt > 0, F.when(dt < MIN_BEACON_GAP, 0.0).otherwise(1.0))
 
 
 def position_heading_score(d: Column, course: Column, reported: Column, v: Column, dt: Column, speed_conf: Column, heading_conf: Column) -> Column:
@@ -111,10 +113,11 @@ def position_heading_score(d: Column, course: Column, reported: Column, v: Colum
 
 
 def appearance_score(d: Column, conf_sender: Column, conf_receiver: Column) -> Column:
-    """1 less the sender's share of area inside the receiver's range: near 0 for a first message inside it."""
-    step = F.when(d < MAX_RANGE, 0.0).otherwise(1.0)
-    area = lens_area(d, conf_sender, MAX_RANGE + conf_receiver)
-    return F.when(conf_sender <= 0, step).otherwise(1 - area / (math.pi * conf_sender * conf_sender))
+    """1 less the sender's share of area inside the receiver's range: near 0 for a first message inside it. In 0..1."""
+    reach = MAX_RANGE + conf_receiver
+    step = F.when(d < reach, 0.0).when(d >= reach, 1.0)
+    area = lens_area(d, conf_sender, reach)
+    return F.when(conf_sender <= 0, step).otherwise(clamp(1 - F.try_divide(area, math.pi * conf_sender * conf_sender), 0.0, 1.0))
 
 
 def proximity_score(d: Column, bearing: Column, neighbour_distances: Column) -> Column:
@@ -130,5 +133,18 @@ def overlap_score(d: Column, conf_a: Column, conf_b: Column) -> Column:
     return F.when(d.isNull(), 1.0).otherwise(clamp(1 - F.greatest(F.lit(0.0), reach - d) / reach, 0.0, 1.0))
 
 
+def regime(attack_type: Column) -> Column:
+    """Traffic regime by the hours that end an attack type's name."""
+    return F.when(attack_type.endswith("0709"), "peak").when(attack_type.endswith("1416"), "off_peak").otherwise("unknown")
+
+
+def family(name: Column, families: list[str], other: str = "other") -> Column:
+    """The first of families that occurs in the name, case aside."""
+    out = F.lit(other)
+    for f in reversed(families):
+        out = F.when(F.contains(F.lower(name), F.lit(f.lower())), f).otherwise(out)
+    return out
+
+
 def ratio(a: Column, b: Column, empty: float | None = None) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(empty).cast("double"))
