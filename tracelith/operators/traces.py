@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .quantiles import at_ranks
 
 
 def with_previous(msgs: DataFrame, keys: list[str], order: list[str], payload: list[str]) -> DataFrame:
@@ -40,36 +42,71 @@ def asof_nearest(rows: DataFrame, keys: list[str], order: list[str], is_state: C
     return out.select("*", F.col("_s._t").alias("ego_t"), *(F.col(f"_s.{c}").alias(f"ego_{c}") for c in payload)).drop("_p", "_n", "_s")
 
 
-def neighbour_context(msgs: DataFrame, key: str, span: float, radius: float, cap: int = 20) -> DataFrame:
-    """Causal neighbours of each message (columns id, t, pseudo, sender, x, y, speed, heading).
+def neighbour_context(msgs: DataFrame, key: str, span: float, radius: float, cap: int = 20, like: tuple[float, float, float] = (10.0, 0.5, 10.0)) -> DataFrame:
+    """Causal neighbours of each message (columns id, t, pseudo, sender, x, y, speed, heading) within its key.
 
-    Latest message per other pseudonym within span seconds before it and earlier in order, at most radius
-    away, the cap nearest if there are more. A RANGE frame bounds what a row holds.
+    The latest message of every other pseudonym within span seconds before it and earlier in order, at most
+    radius away, the cap nearest if there are more. like: distance, speed and heading limits of a similar
+    neighbour. A RANGE frame bounds what a row holds; the latest of each pseudonym are found by one sort of it.
+    Means, minima and p10 are null without neighbours, the deviation below two.
     """
     held = "struct(id, t, pseudo, sender, x, y, speed, heading)"
     out = msgs.withColumn("_w", F.expr(f"collect_list({held}) over (partition by {key} order by t range between {float(span)}D preceding and current row)"))
     past = F.filter("_w", lambda m: (m["t"] < F.col("t")) | ((m["t"] == F.col("t")) & (m["id"] < F.col("id"))))
     out = out.withColumn("_w", past)
-    # Latest per pseudonym: the one no later entry of the frame repeats.
-    latest = F.filter("_w", lambda m: ~F.exists("_w", lambda o: (o["pseudo"] == m["pseudo"]) & ((o["t"] > m["t"]) | ((o["t"] == m["t"]) & (o["id"] > m["id"])))))
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  value is computed once
+    by_pseudo = F.array_sort(F.transform("_w", lambda m: F.struct(m["pseudo"].alias("pseudo"), m["t"].alias("t"), m["id"].alias("id"), m["x"].alias("x"), m["y"].alias("y"), m["speed"].alias("speed"), m["heading"].alias("heading"))))
+    latest = bind(by_pseudo, lambda s: F.filter(s, lambda m, i: ~F.get(s, i + 1)["pseudo"].eqNullSafe(m["pseudo"])))
+    by_sender = F.array_sort(F.transform(F.filter("_w", lambda m: m["sender"] == F.col("sender")), lambda m: F.struct(m["t"].alias("t"), m["id"].alias("id"), m["pseudo"].alias("pseudo"))))
+    own = F.transform(by_sender, lambda m: m["pseudo"])
+    out = out.withColumns({"_latest": latest, "_own": own}).drop("_w")
     near = F.transform(
-        F.filter(latest, lambda m: m["pseudo"] != F.col("pseudo")),
+        F.filter("_latest", lambda m: m["pseudo"] != F.col("pseudo")),
         lambda m: F.struct(K.distance(m["x"], m["y"], F.col("x"), F.col("y")).alias("d"), m["id"].alias("id"), F.abs(m["speed"] - F.col("speed")).alias("ds"), K.angle_difference(m["heading"], F.col("heading")).alias("dh")),
     )
     near = F.slice(F.array_sort(F.filter(near, lambda n: n["d"] <= radius)), 1, cap)
-    same = F.filter("_w", lambda m: m["sender"] == F.col("sender"))
-    out = out.withColumns({"_n": near, "_same": same})
+    out = out.withColumns({"_n": near, "_active": F.size("_latest")}).drop("_latest")
     n = F.size("_n")
-    mean = lambda f: F.when(n > 0, F.aggregate(F.transform("_n", lambda x: x[f]), F.lit(0.0), lambda a, x: a + x) / n)
-    count = lambda f, hi: F.size(F.filter("_n", lambda x: x[f] <= hi)).cast("long")
+    each = lambda f: F.transform("_n", lambda x: x[f])
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    mean = lambda f: F.when(n > 0, total(each(f)) / n)
+    count = lambda cond: F.size(F.filter("_n", cond)).cast("long")
+    within = lambda m: lambda x: x["d"] <= m
+    dev = bind(mean("d"), lambda m: F.sqrt(total(F.transform(each("d"), lambda d: (d - m) * (d - m))) / n))
+    switches = F.size(F.filter("_own", lambda p, i: (i > 0) & (p != F.get("_own", i - 1))))
+    near_m, near_v, near_h = like
+    similar = count(lambda x: (x["d"] <= near_m) & (x["ds"] <= near_v) & (x["dh"] <= near_h))
+    pseudos = F.size(F.array_distinct(F.concat("_own", F.array("pseudo")))).cast("long")
     return out.select(
-        *msgs.columns, n.cast("long").alias("n_neighbours"), F.array_min(F.transform("_n", lambda x: x["d"])).alias("min_distance"), mean("d").alias("mean_distance"),
-        count("d", 5.0).alias("n_within_5"), count("d", 10.0).alias("n_within_10"), mean("ds").alias("mean_speed_diff"), mean("dh").alias("mean_heading_diff"),
-        F.size(F.filter("_n", lambda x: (x["d"] <= 10) & (x["ds"] <= 0.5) & (x["dh"] <= 10))).cast("long").alias("n_similar"),
-        F.size(F.array_distinct(F.concat(F.transform("_same", lambda m: m["pseudo"]), F.array("pseudo")))).cast("long").alias("n_sender_pseudos"),
+        *msgs.columns, F.col("_active").cast("long").alias("n_active_pseudos"), n.cast("long").alias("n_neighbours"), F.array_min(each("d")).alias("min_distance"),
+        F.get(each("d"), F.bround(0.1 * (n - 1)).cast("int")).alias("p10_distance"), mean("d").alias("mean_distance"), F.when(n > 1, dev).alias("std_distance"),
+        *(count(within(m)).alias(f"n_within_{m}") for m in (5, 10, 20)),
+        F.array_min(each("ds")).alias("min_speed_diff"), mean("ds").alias("mean_speed_diff"), count(lambda x: x["ds"] <= 0.5).alias("n_speed_diff_0p5"), count(lambda x: x["ds"] <= 1.0).alias("n_speed_diff_1p0"),
+        F.array_min(each("dh")).alias("min_heading_diff"), mean("dh").alias("mean_heading_diff"), count(lambda x: x["dh"] <= 5).alias("n_heading_diff_5"), count(lambda x: x["dh"] <= 10).alias("n_heading_diff_10"),
+        similar.alias("n_similar"), F.when(n > 0, similar / n).alias("similar_ratio"), pseudos.alias("n_sender_pseudos"), (pseudos > 1).cast("int").alias("is_multi_pseudo"), switches.cast("long").alias("n_pseudo_switches"),
+        (n > 0).cast("int").alias("has_neighbours"),
     )
 
 
+def fresh_latest(msgs: DataFrame, key: str, fresh: float) -> DataFrame:
+    """_fresh: the latest message of every other pseudonym of the key that is at most `fresh` seconds old, as (pseudo, t, id, x, y)."""
+    held = "struct(pseudo, t, id, x, y)"
+    out = msgs.withColumn("_w", F.expr(f"collect_list({held}) over (partition by {key} order by t range between {float(fresh)}D preceding and current row)"))
+    past = F.array_sort(F.filter("_w", lambda m: ((m["t"] < F.col("t")) | ((m["t"] == F.col("t")) & (m["id"] < F.col("id")))) & (m["pseudo"] != F.col("pseudo"))))
+    latest = F.get(F.transform(F.array(past), lambda s: F.filter(s, lambda m, i: ~F.get(s, i + 1)["pseudo"].eqNullSafe(m["pseudo"]))), F.lit(0))
+    return out.withColumn("_fresh", latest).drop("_w")
+
+
+#: Availability columns of a feature row; no map is read, overlap is by circles, nothing is filtered.
+AVAILABILITY = {"msg_catch_map": None, "avail_map": 0, "avail_int": 1, "int_is_approx": 1, "feature_flags": "map=off,int=approx,kalman=off"}
+
+
+def with_availability(rows: DataFrame) -> DataFrame:
+    """The constant columns that say which features are there."""
+    kinds = {"msg_catch_map": "double"}
+    return rows.withColumns({c: F.lit(v).cast(kinds[c]) if c in kinds else F.lit(v) for c, v in AVAILABILITY.items()})
+
+
 def sender_history(rows: DataFrame, keys: list[str], order: list[str], value: str, k: int, span: float, t1: tuple[str, float], t2: tuple[str, float]) -> DataFrame:
     """Summary of value over the last k rows of the keys within span seconds, current row excluded."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-k, -1)
@@ -91,24 +128,51 @@ def hit(v: Column, op: str, threshold: float) -> Column:
     return {"le": v <= threshold, "lt": v < threshold, "ge": v >= threshold, "gt": v > threshold}[op]
 
 
-def mine_thresholds(rows: DataFrame, value: str, label: str, quantiles: Iterable[float], op: str = "le") -> DataFrame:
-    """Candidate thresholds (nearest-rank quantiles, half-even ranks) with support, class gap and score, best first.
+def mine_thresholds(rows: DataFrame, value: str, label: str, quantiles: Iterable[float], op: str = "le", positive: bool = False) -> DataFrame:
+    """Candidate thresholds (nearest-rank quantiles, half-even ranks) with support, class gap and score.
 
-    Ranks come from value counts, so the ordered window runs over distinct values only.
+    positive: the quantiles are those of the values above 0, and `gt 0` (q null) is a candidate too; support and gap
+    are of all values. Ranks come from counts by ranges of values, so no task orders them all.
     """
-    finite = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.col(label).alias("y"))
-    counts = finite.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.sum(F.when(F.col("y") != 0, 1).otherwise(0)).alias("c1"))
-    upto = counts.withColumn("to", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    total = finite.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("y") != 0, 1).otherwise(0)).alias("n1"))
-    spark = rows.sparkSession
-    qs = spark.createDataFrame([(float(q),) for q in quantiles], "q double")
-    asked = qs.join(F.broadcast(total)).withColumn("rank", F.bround(F.col("q") * (F.col("n") - 1)) + 1)  # total: one row
-    cand = upto.join(F.broadcast(asked), (F.col("rank") <= F.col("to")) & (F.col("rank") > F.col("to") - F.col("c"))).select("q", F.col("v").alias("threshold"), "n", "n1")
-    test = {"le": F.col("v") <= F.col("threshold"), "ge": F.col("v") >= F.col("threshold")}[op]
-    got = counts.join(F.broadcast(cand)).where(test).groupBy("q", "threshold", "n", "n1").agg(F.sum("c").alias("h"), F.sum("c1").alias("h1"))
+    finite = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), (F.col(label) != 0).cast("long").alias("y"))
+    qs = {f"q{i}": float(q) for i, q in enumerate(quantiles)}
+    of = finite.where("v > 0") if positive else finite
+    got = at_ranks(of, [], "v", {name: F.bround(F.lit(q) * (F.col("n") - 1)) for name, q in qs.items()})  # one row
+    kind = "struct<q: double, threshold: double, op: string>"
+    cand = F.array(*(F.struct(F.lit(q).alias("q"), F.col(name).cast("double").alias("threshold"), F.lit(op).alias("op")).cast(kind) for name, q in qs.items()))
+    if positive:
+        cand = F.concat(F.array(F.struct(F.lit(None).cast("double").alias("q"), F.lit(0.0).alias("threshold"), F.lit("gt").alias("op")).cast(kind)), cand)
+    cand = got.select(F.explode(cand).alias("c")).select("c.*")
+    total = finite.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))  # one row
+    counts = finite.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("c1"))
+    test = F.expr("case op when 'le' then v <= threshold when 'ge' then v >= threshold else v > threshold end")
+    hits = counts.join(F.broadcast(cand), test).groupBy("q", "threshold", "op").agg(F.sum("c").alias("h"), F.sum("c1").alias("h1"))  # a row a quantile
+    hits = hits.join(F.broadcast(total))
     r1, r0 = K.ratio(F.col("h1"), F.col("n1"), 0.0), K.ratio(F.col("h") - F.col("h1"), F.col("n") - F.col("n1"), 0.0)
-    out = got.withColumns({"support": F.col("h") / F.col("n"), "gap": F.abs(r1 - r0)})
-    return out.select("q", "threshold", F.lit(op).alias("op"), "support", "gap", (F.col("gap") * F.sqrt(F.greatest("support", F.lit(1e-12)))).alias("score"))
+    out = hits.withColumns({"support": F.col("h") / F.col("n"), "gap": F.abs(r1 - r0)})
+    return out.select("q", "threshold", "op", "support", "gap", (F.col("gap") * F.sqrt(F.greatest("support", F.lit(1e-12)))).alias("score"))
+
+
+def fit_thresholds(rows: DataFrame, windows: list[tuple[float, float]], label: str, low: dict[str, Iterable[float]], high: dict[str, Iterable[float]], time: str = "t") -> dict[str, dict]:
+    """t1 and t2 of each feature by the rows inside the half-open train windows; a ValueError if there are none.
+
+    low: features whose small values tell (le), high: those whose positive values do (gt 0 and ge). The result is
+    plain and goes into run metadata as it is; hit() and the stream apply it.
+    """
+    inside = F.lit(False)
+    for a, b in windows:
+        inside = inside | ((F.col(time) >= a) & (F.col(time) < b))
+    train = rows.where(inside)
+    if train.isEmpty():
+        raise ValueError(f"no rows in the train windows {windows}")
+    out = {}
+    for features, op, positive in ((low, "le", False), (high, "ge", True)):
+        for name, qs in features.items():
+            cands = [r.asDict() for r in mine_thresholds(train, name, label, qs, op, positive).where("not (op = 'ge' and threshold <= 0)").collect()]  # a row a quantile
+            if cands:
+                t1, t2 = select_thresholds(sorted(cands, key=lambda c: (c["q"] is not None, c["q"])))
+                out[name] = {"t1": t1, "t2": t2, "candidates": len(cands)}
+    return out
 
 
 def select_thresholds(candidates: list[dict], support: float = 0.05, gap: float = 0.10, support2: float = 0.10, gap2: float = 0.06) -> tuple[dict, dict | None]:
@@ -133,8 +197,8 @@ def sliding_episodes(msgs: DataFrame, key: str, window: float, step: float) -> D
 
     The few windows of a message follow from its time alone, so nothing is joined by range.
     """
-    w = Window.partitionBy(key)
-    out = msgs.withColumns({"t_lo": F.min("t").over(w), "t_hi": F.max("t").over(w)})
+    ends = msgs.groupBy(key).agg(F.min("t").alias("t_lo"), F.max("t").alias("t_hi"))  # combined map-side
+    out = msgs.join(ends, key)
     last = F.floor((F.col("t_hi") + step - window - F.col("t_lo")) / step)
     lo = F.greatest(F.lit(0), F.ceil((F.col("t") - window - F.col("t_lo")) / step))
     hi = F.least(last, F.floor((F.col("t") - F.col("t_lo")) / step))
@@ -142,23 +206,6 @@ def sliding_episodes(msgs: DataFrame, key: str, window: float, step: float) -> D
     return out.withColumn("ws", F.col("t_lo") + F.col("window_no") * step).drop("t_lo", "t_hi")
 
 
-def tracks(episodes: DataFrame, keys: list[str], window: float) -> DataFrame:
-    """Summary of every pseudonym of an episode."""
-    lag = F.lag("t").over(Window.partitionBy(*keys, "pseudo").orderBy("t", "id"))
-    e = episodes.withColumn("iat", F.col("t") - lag)
-    first, last = F.min_by(F.struct("x", "y"), F.struct("t", "id")), F.max_by(F.struct("x", "y"), F.struct("t", "id"))
-    out = e.groupBy(*keys, "pseudo").agg(
-        F.count(F.lit(1)).alias("num_msgs"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.avg("speed").alias("mean_speed"),
-        F.when(F.count(F.lit(1)) > 1, F.stddev_pop("speed")).otherwise(0.0).alias("speed_std"), F.avg("iat").alias("mean_iat"), first.alias("a"), last.alias("z"),
-        F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.first("sender").alias("sender"),
-    )
-    life = F.col("last_t") - F.col("first_t")
-    return out.select(
-        *keys, "pseudo", "num_msgs", "first_t", "last_t", life.alias("duration"), (life / window).alias("lifetime_fraction"), F.when(life > 0, F.col("num_msgs") / life).alias("msg_rate"),
-        "mean_speed", "speed_std", "mean_iat", K.distance(F.col("a.x"), F.col("a.y"), F.col("z.x"), F.col("z.y")).alias("displacement"), "mean_x", "mean_y", "sender",
-    )
-
-
 def cluster_tracks(t: DataFrame, keys: list[str], near: float = 80.0, speed: float = 5.0, overlap: float = 0.2) -> DataFrame:
     """Group of each track: linked are tracks of an episode near each other, alike in speed and overlapping in time.
 
@@ -166,27 +213,28 @@ def cluster_tracks(t: DataFrame, keys: list[str], near: float = 80.0, speed: flo
     """
     schema = f"{', '.join(f'{k} long' for k in keys)}, pseudo long, group_id string, group_size long"
 
+    def linked(lo: int, hi: int, x, y, v, a, z) -> np.ndarray:
+        """Which tracks are alike to those of lo..hi."""
+        at = np.s_[lo:hi, None]
+        cover = np.minimum(z[at], z) - np.maximum(a[at], a)
+        whole = np.maximum(z[at], z) - np.minimum(a[at], a)
+        share = np.divide(np.maximum(cover, 0), whole, out=np.zeros_like(whole), where=whole > 0)
+        return (np.sqrt((x[at] - x) ** 2 + (y[at] - y) ** 2) < near) & (np.abs(v[at] - v) < speed) & (share > overlap)
+
     def group(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["first_t", "pseudo"]).reset_index(drop=True)
-        root = list(range(len(g)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        x, y, v, a, z = (g[c].to_numpy() for c in ("mean_x", "mean_y", "mean_speed", "first_t", "last_t"))
-        for i in range(len(g) - 1):
-            rest = slice(i + 1, None)
-            cover = pd.Series(z[rest]).clip(upper=z[i]).to_numpy() - pd.Series(a[rest]).clip(lower=a[i]).to_numpy()
-            whole = pd.Series(z[rest]).clip(lower=z[i]).to_numpy() - pd.Series(a[rest]).clip(upper=a[i]).to_numpy()
-            share = pd.Series(cover.clip(min=0)).div(pd.Series(whole).where(whole > 0)).fillna(0).to_numpy()
-            ok = (((x[rest] - x[i]) ** 2 + (y[rest] - y[i]) ** 2) ** 0.5 < near) & (abs(v[rest] - v[i]) < speed) & (share > overlap)
-            for j in ok.nonzero()[0]:
-                p, q = find(i), find(i + 1 + int(j))
-                root[max(p, q)] = min(p, q)
-        g["root"] = [find(i) for i in range(len(g))]
+        g = g.sort_values("pseudo").reset_index(drop=True)
+        cols = [g[c].to_numpy(float) for c in ("mean_x", "mean_y", "mean_speed", "first_t", "last_t")]
+        n, root = len(g), np.arange(len(g))
+        while True:  # the least label among a track and those alike, until none changes; rows in blocks
+            low = root.copy()
+            for lo in range(0, n, 512):
+                hi = min(n, lo + 512)
+                low[lo:hi] = np.minimum(low[lo:hi], np.where(linked(lo, hi, *cols), low, n).min(axis=1))
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        g["root"] = root
         rank = g.groupby("root").agg(n=("pseudo", "size"), m=("num_msgs", "sum"), low=("pseudo", "min")).sort_values(["n", "m", "low"], ascending=[False, False, True])
         name = {r: f"G{i + 1}" for i, r in enumerate(rank.index)}
         g["group_id"], g["group_size"] = g["root"].map(name), g["root"].map(rank["n"])
