@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Multiplicative hash that SQL engines share.
-MULTIPLIER, MODULUS = 2654435761, 4294967296
+MULTIPLIER, MODULUS, FOLD = 2654435761, 4294967296, 2147483648
 
 
 def order_hash(key: Column, seed: int = 0) -> Column:
-    """Hash of a non-negative key below 2 ** 31, in 0..2 ** 32 - 1."""
-    return ((key + seed) * F.lit(MULTIPLIER)) % F.lit(MODULUS)
+    """Hash of an integer key, in 0..2 ** 32 - 1. Keys are folded to 31 bits first, so the product fits a long."""
+    return (F.pmod(key + seed, F.lit(FOLD)) * F.lit(MULTIPLIER)) % F.lit(MODULUS)
 
 
 def bottom_k(df: DataFrame, strata: list[str], key: str, k: Column | int, seed: int = 0) -> DataFrame:
@@ -81,7 +81,7 @@ def run_split(runs: DataFrame, config: list[str], run: str, train: int = 4) -> D
 
     Configs with fewer runs than that are train altogether.
     """
-    h = F.xxhash64(F.col(run))
+    h = order_hash(F.col(run))
     w = Window.partitionBy(*config)
     out = runs.withColumns({"_rn": F.row_number().over(w.orderBy(h, run)), "_n": F.count(F.lit(1)).over(w)})
     rest = F.col("_rn") - train
@@ -94,3 +94,104 @@ def fixed_sample(df: DataFrame, strata: list[str], key: str, total: int) -> Data
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
     quota = largest_remainder(sizes, strata, total).select(*strata, F.least("quota", "n").alias("_quota"))
     return bottom_k(df.join(F.broadcast(quota), strata), strata, key, F.col("_quota")).drop("_quota")  # a row a stratum
+
+
+def key_sample(df: DataFrame, label: str, key: str, quota: dict[int, int], seed: int = 0) -> DataFrame:
+    """Rows of the keys of least hash by label; all rows that share a picked key follow it, whatever their label."""
+    want = F.coalesce(*(F.when(F.col(label) == y, F.lit(n)) for y, n in quota.items()), F.lit(0))
+    keys = bottom_k(df.select(label, key).distinct(), [label], key, want, seed).select(key).distinct()
+    return df.join(keys, key, "left_semi")
+
+
+#: Runs of a pool that go to val by attacker type 1, 2, 4, 8 and 16, for val and for test.
+VAL_QUOTA, TEST_QUOTA = {1: 4, 2: 5, 4: 4, 8: 5, 16: 4}, {1: 5, 2: 4, 4: 5, 8: 4, 16: 5}
+
+
+def run_split_quota(runs: DataFrame, config: list[str], run: str, kind: str, train: int = 4) -> DataFrame:
+    """split of each run: of every config the first `train` by hash order are train, the pool goes to val and test by the type's quota.
+
+    Configs with fewer runs are train altogether; run is a number. Where a type's pool isn't the size of both quotas, its halves are taken.
+    """
+    h = order_hash(F.col(run))
+    w = Window.partitionBy(*config)
+    out = runs.withColumns({"_rn": F.row_number().over(w.orderBy(h, run)), "_n": F.count(F.lit(1)).over(w)})
+    pool = (F.col("_n") >= train) & (F.col("_rn") > train)
+    p = Window.partitionBy(pool, kind)
+    out = out.withColumns({"_pn": F.row_number().over(p.orderBy(h, run)), "_ps": F.count(F.lit(1)).over(p)})
+    val = F.coalesce(*(F.when((F.col(kind) == t) & (F.col("_ps") == VAL_QUOTA[t] + TEST_QUOTA[t]), F.lit(n)) for t, n in VAL_QUOTA.items()), F.floor(F.col("_ps") / 2))
+    split = F.when(~pool, "train").when(F.col("_pn") <= val, "val").otherwise("test")
+    return out.withColumn("split", split).drop("_rn", "_n", "_pn", "_ps")
+
+
+def receiver_validation(rows: DataFrame, run: str, receiver: str, fraction: float, seed: int = 0) -> DataFrame:
+    """run and receiver of those held out: of each run max(1, floor(n * fraction)) receivers by hash order."""
+    pairs = rows.select(run, receiver).distinct()
+    n = pairs.groupBy(run).agg(F.count(F.lit(1)).alias("_n"))
+    return bottom_k(pairs.join(n, run), [run], receiver, F.greatest(F.lit(1), F.floor(F.col("_n") * fraction)), seed).drop("_n")
+
+
+def top_up(df: DataFrame, strata: list[str], key: str, total: int, seed: int = 0) -> DataFrame:
+    """fixed_sample, but what short strata lack is taken from the rest of the others by hash order."""
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
+    quota = largest_remainder(sizes, strata, total).select(*strata, "quota")
+    rn = F.row_number().over(Window.partitionBy(*strata).orderBy(order_hash(F.col(key), seed), key))
+    ranked = df.join(quota, strata).withColumn("_first", rn <= F.col("quota")).drop("quota")
+    first = ranked.where("_first").drop("_first")
+    short = total - first.count()
+    if short <= 0:
+        return first
+    rest = ranked.where("not _first").drop("_first").orderBy(order_hash(F.col(key), seed), key).limit(short)
+    return first.unionByName(rest)
+
+
+def weighted_draws(df: DataFrame, key: str, weight: Column, draws: int, seed: int = 0, bits: int = 10) -> DataFrame:
+    """`draws` draws with replacement in proportion to weight (not above 0: 1e-8): df with the number of the draw.
+
+    Rows lie end to end on the weight axis in the order of key hashes; 2 ** bits hash ranges are numbered by
+    their totals, and a draw, an even grid shifted by the seed's hash, finds its range and then its row there.
+    """
+    w = F.when(weight > 0, weight.cast("double")).otherwise(F.lit(1e-8))
+    rows = df.withColumns({"_w": w, "_h": order_hash(F.col(key), seed)}).withColumn("_range", F.shiftrightunsigned("_h", 32 - bits).cast("int"))
+    sizes = rows.groupBy("_range").agg(F.sum("_w").alias("_size"))
+    upto = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))  # 2 ** bits rows
+    ranges = sizes.withColumn("_from", upto - F.col("_size"))
+    ranges = ranges.join(F.broadcast(sizes.agg(F.sum("_size").alias("_total"))))
+    at = F.sum("_w").over(Window.partitionBy("_range").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_from")
+    rows = rows.join(F.broadcast(ranges), "_range").withColumn("_to", at)
+    shift = (seed * MULTIPLIER % MODULUS) / MODULUS
+    first = F.ceil((F.col("_to") - F.col("_w")) / F.col("_total") * draws - shift)
+    last = F.ceil(F.col("_to") / F.col("_total") * draws - shift) - 1
+    numbers = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    return rows.withColumn("draw", F.explode(numbers)).select(*df.columns, F.pmod(F.col("draw"), F.lit(draws)).alias("draw"))
+
+
+def cap_rows(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """At most `most` rows by hash order; splits take seed, seed + 1 and seed + 2."""
+    return df.orderBy(order_hash(F.col(key), seed), key).limit(most)
+
+
+def ordered_subset(df: DataFrame, key: str, most: int, order: str, seed: int = 0) -> DataFrame:
+    """cap_rows in the original order."""
+    return cap_rows(df, key, most, seed).orderBy(order)
+
+
+def demo_picks(pool: DataFrame, key: str, wanted: list[tuple[str, Column, Column]], exclude: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """One row for each (name, condition, preference): the row of least preference, then least hash, that no earlier one took.
+
+    Rows whose key is in exclude are not eligible. Picks are a few rows; a name without an eligible row is absent.
+    """
+    left = pool if exclude is None else pool.join(exclude.select(key).distinct(), key, "left_anti")
+    out, taken = None, []
+    for i, (name, condition, preference) in enumerate(wanted):
+        free = left.where(condition & ~F.col(key).isin(taken)) if taken else left.where(condition)
+        pick = free.orderBy(preference, order_hash(F.col(key), seed + i), key).limit(1).withColumn("demo", F.lit(name))
+        row = pick.collect()  # one row
+        taken += [r[key] for r in row]
+        one = pool.sparkSession.createDataFrame(row, pick.schema)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def complete_runs(runs: DataFrame, config: list[str], status: str = "status") -> DataFrame:
+    """Healthy runs with all config columns."""
+    return runs.where(F.col(status) == "ok").dropna(subset=config)
