@@ -61,3 +61,22 @@ def id_list(text: Column) -> Column:
 
 def error_type(gold: Column, pred: Column) -> Column:
     return F.when(gold == 1, F.when(pred == 1, "tp").otherwise("fn")).otherwise(F.when(pred == 1, "fp").otherwise("tn"))
+
+
+def shown_bin(n: Column) -> Column:
+    """Candidates by how many a prompt shows."""
+    return F.when(n <= 10, "<=10").when(n <= 20, "11-20").when(n <= 40, "21-40").otherwise(">40")
+
+
+def bin_for(name: str, kind: str, edges: dict[str, list[float]], scores: tuple[str, ...] = ("msg_catch_",), counts: tuple[str, ...] = ("ctx_n_", "n_")) -> Column:
+    """The bins that a feature's name and type call for: edges given for it, scores, counts, binary, else edges at 1, 10 and 100."""
+    c = F.col(name)
+    if name in edges:
+        return edge_bin(c, edges[name])
+    if kind == "boolean" or name.startswith(("is_", "has_", "avail_")):
+        return binary_bin(c.cast("int"))
+    if name.startswith(scores) or name.endswith(("_ratio", "_frac", "_score")):
+        return score_bin(c)
+    if name.startswith(counts) or kind in ("int", "bigint", "smallint", "tinyint"):
+        return count_bin(c)
+    return edge_bin(c, [1, 10, 100])
