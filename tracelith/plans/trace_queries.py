@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import bins as B
 from ..functions import kernels as K
 from ..functions import text as T
+from ..operators import episodes as E
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import traces as O
+from ..operators.quantiles import exact_quantiles
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -194,12 +196,12 @@ def a12_bucketed(spark, sf):
     return rounded(M.bucketed(_judged(spark, sf), {"lang": F.col("lang"), "size": B.edge_bin(F.col("n_chars"), [1000, 5000])}, "quality", "toxic"), 6)
 
 
-@query("a14_shard_merge", f"SELECT tp, fp, fn, tn, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1, 8::BIGINT AS n_seen, 0::BIGINT AS n_missing, true AS complete FROM (SELECT *, {_RATIOS} FROM (SELECT {_COUNTS} FROM labels JOIN documents USING (doc_id)))")
+@query("a14_shard_merge", f"SELECT tp, fp, fn, tn, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1, n_seen, n_missing, n_missing = 0 AS complete FROM (SELECT *, {_RATIOS} FROM (SELECT {_COUNTS}, count(DISTINCT CASE WHEN doc_id % 9 < 8 THEN doc_id % 9 END)::BIGINT AS n_seen, (9 - count(DISTINCT CASE WHEN doc_id % 9 < 8 THEN doc_id % 9 END))::BIGINT AS n_missing FROM labels JOIN documents USING (doc_id) WHERE doc_id % 9 < 8))")
 def a14_shard_merge(spark, sf):
-    j = _judged(spark, sf).withColumn("shard", F.col("doc_id") % 8)
+    j = _judged(spark, sf).withColumn("shard", F.col("doc_id") % 9).where("shard < 8")
     per = M.confusion(j, ["shard"], "quality", "toxic").select("shard", "tp", "fp", "fn", "tn")
     total = M.with_ratios(per.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")))).select("tp", "fp", "fn", "tn", "accuracy", "f1")
-    return rounded(total.join(F.broadcast(M.coverage(per, "shard", 8))), 6)
+    return rounded(total.join(F.broadcast(M.coverage(per, "shard", 9))), 6)
 
 
 @query("a16_histogram", "SELECT bucket, n::BIGINT AS n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT CASE WHEN l_linenumber <= 8 AND l_quantity <= 8 THEN '<=8' WHEN l_quantity <= 16 THEN '9-16' WHEN l_quantity <= 24 THEN '17-24' WHEN l_quantity <= 32 THEN '25-32' ELSE '>32' END AS bucket, count(*) AS n FROM lineitem GROUP BY 1)")
@@ -218,8 +220,8 @@ def a13_once_per_episode(spark, sf):
 _AUDIT = ("l_quantity", "l_discount", "l_tax")
 
 
-@query("a19_feature_audit", " UNION ALL ".join(f"""SELECT '{f}' AS feature, part, count(*)::BIGINT AS n, round(avg(({f} IS NULL)::INT), 5) AS null_rate, round(avg({f}), 5) AS mean, round(stddev_samp({f}), 5) AS std, round(min({f}), 5) AS min, round(max({f}), 5) AS max, round(avg(({f} <= 0.5)::INT), 5) AS le_0p5_rate,
- {', '.join(f'round(quantile_cont({f}, {q}), 5) AS q{round(100 * q):02d}' for q in M.QUANTILES)} FROM (SELECT *, unnest(['all', 'label=' || l_returnflag]) AS part FROM lineitem) GROUP BY part""" for f in _AUDIT))
+@query("a19_feature_audit", " UNION ALL ".join(f"""SELECT '{f}' AS feature, part, count(*)::BIGINT AS n, round(avg(({f} IS NULL)::INT), 5) AS null_rate, round(avg({f}), 5) AS mean, round(stddev_samp({f}), 5) AS std, round(min({f}), 5) AS min, round(max({f}), 5) AS max, round(avg(({f} = 1)::INT), 5) AS eq1_rate, round(avg(({f} = 0)::INT), 5) AS eq0_rate,
+ round(avg(({f} <= 0.95)::INT), 5) AS le_0p95_rate, round(avg(({f} <= 0.9)::INT), 5) AS le_0p9_rate, round(avg(({f} <= 0.8)::INT), 5) AS le_0p8_rate, round(avg(({f} <= 0.5)::INT), 5) AS le_0p5_rate, {', '.join(f'round(quantile_cont({f}, {q}), 5) AS q{round(100 * q):02d}' for q in M.QUANTILES)} FROM (SELECT *, unnest(['all', 'label=' || l_returnflag]) AS part FROM lineitem) GROUP BY part""" for f in _AUDIT))
 def a19_feature_audit(spark, sf):
     return rounded(M.audit(load(spark, sf, "lineitem"), list(_AUDIT), "l_returnflag"))
 
@@ -228,8 +230,9 @@ def a19_feature_audit(spark, sf):
 SELECT l_suppkey % 7 AS run, round(any_value(coalesce(eps, 0)), 6) AS eps, (count(*) FILTER (l_discount * l_quantity > coalesce(eps, 0)))::BIGINT AS n_attack, count(*)::BIGINT AS n FROM lineitem JOIN t ON t.run = l_suppkey % 7 GROUP BY 1""")
 def a23_error_threshold(spark, sf):
     li = load(spark, sf, "lineitem").select((F.col("l_suppkey") % 7).alias("run"), "l_returnflag", (F.col("l_discount") * F.col("l_quantity")).alias("err"))
-    eps = li.groupBy("run").agg(F.coalesce(F.percentile(F.when(F.col("l_returnflag") == "N", F.col("err")), 0.9), F.lit(0.0)).alias("eps"))
-    return li.join(eps, "run").groupBy("run").agg(F.round(F.first("eps"), 6).alias("eps"), F.sum((F.col("err") > F.col("eps")).cast("long")).alias("n_attack"), F.count(F.lit(1)).alias("n"))
+    eps = exact_quantiles(li.where("l_returnflag = 'N'"), ["run"], "err", {"eps": 0.9})
+    li = li.join(eps.select("run", "eps"), "run", "left").withColumn("eps", F.coalesce("eps", F.lit(0.0)))
+    return li.groupBy("run").agg(F.round(F.first("eps"), 6).alias("eps"), F.sum((F.col("err") > F.col("eps")).cast("long")).alias("n_attack"), F.count(F.lit(1)).alias("n"))
 
 
 @query("w11_k_windows", """WITH r AS (SELECT conv_id, turn, row_number() OVER w AS n, lag(turn, 3) OVER w AS first_turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
@@ -252,21 +255,15 @@ def w13_episode_regions(spark, sf):
 
 
 @query("a5_episode_tracks", _EP + """, l AS (SELECT *, t - lag(t) OVER (PARTITION BY receiver, window_no, pseudo ORDER BY t, id) AS iat FROM ep)
-SELECT receiver, window_no, pseudo, count(*)::BIGINT AS num_msgs, round(max(t) - min(t), 4) AS duration, round((max(t) - min(t)) / 86400, 6) AS lifetime_fraction, round(CASE WHEN max(t) > min(t) THEN count(*) / (max(t) - min(t)) END, 8) AS msg_rate, round(avg(speed), 8) AS mean_speed, round(avg(iat), 3) AS mean_iat,
+SELECT receiver, window_no, pseudo, count(*)::BIGINT AS num_msgs, round(max(t) - min(t), 4) AS duration, round((max(t) - min(t)) / 86400, 6) AS lifetime_fraction, round(CASE WHEN max(t) > min(t) THEN count(*) / (max(t) - min(t)) END, 8) AS msg_rate, round(avg(speed), 8) AS mean_speed, round(coalesce(avg(iat), 0), 3) AS mean_iat,
  round(sqrt(power(arg_max(x, t) - arg_min(x, t), 2) + power(arg_max(y, t) - arg_min(y, t), 2)), 4) AS displacement FROM l GROUP BY receiver, window_no, pseudo""")
 def a5_episode_tracks(spark, sf):
     e = O.sliding_episodes(messages(spark, sf), "receiver", 24 * HOUR, 12 * HOUR)
-    t = O.tracks(e, ["receiver", "window_no"], 24 * HOUR)
+    t = E.tracks(e, ["receiver", "window_no"], 24 * HOUR)
     r = lambda c, n: F.round(c, n).alias(c)
     return t.select("receiver", "window_no", "pseudo", "num_msgs", r("duration", 4), r("lifetime_fraction", 6), r("msg_rate", 8), r("mean_speed", 8), r("mean_iat", 3), r("displacement", 4))
 
 
-@query("j7_track_clusters")
-def j7_track_clusters(spark, sf):
-    e = O.sliding_episodes(messages(spark, sf), "receiver", 24 * HOUR, 12 * HOUR)
-    return O.cluster_tracks(O.tracks(e, ["receiver", "window_no"], 24 * HOUR), ["receiver", "window_no"])
-
-
 @query("t9_label_parsing", """WITH s AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'No ATTACK here, benign' WHEN 1 THEN 'Benign.' WHEN 2 THEN 'answer: 1' WHEN 3 THEN 'benign then attack' ELSE text END AS s FROM conversations)
 SELECT conv_id, turn, CASE WHEN regexp_matches(s, '(?i)\\battack\\b') THEN 1 WHEN regexp_matches(s, '(?i)\\bbenign\\b') THEN 0 WHEN regexp_extract(s, '\\b([01])\\b', 1) <> '' THEN regexp_extract(s, '\\b([01])\\b', 1)::INT END AS label,
  CASE WHEN instr(lower(s), 'attack') > 0 AND (instr(lower(s), 'benign') = 0 OR instr(lower(s), 'attack') < instr(lower(s), 'benign')) THEN 'ATTACK' WHEN instr(lower(s), 'benign') > 0 THEN 'BENIGN' ELSE 'UNKNOWN' END AS first FROM s""")
@@ -321,11 +318,11 @@ def j4_star_lookup(spark, sf):
     return j.groupBy("r_name", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("j13_reconciliation", """WITH a AS (SELECT l_returnflag AS k, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT k, n::BIGINT AS a_n, n::BIGINT AS b_n, true AS agrees FROM a""")
+@query("j13_reconciliation", """WITH a AS (SELECT l_returnflag AS k, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT k, n::BIGINT AS a_n, b_n::BIGINT AS b_n, n = b_n AND abs(q - b_q) <= 1e-6 AS agrees FROM a JOIN (SELECT l_returnflag AS k, count(*) AS b_n, sum(l_quantity) AS b_q FROM lineitem WHERE l_returnflag <> 'A' OR l_linenumber > 1 GROUP BY 1) USING (k)""")
 def j13_reconciliation(spark, sf):
     li = load(spark, sf, "lineitem").withColumn("k", F.col("l_returnflag"))
     a = li.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
-    b = li.groupBy("k", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q")).groupBy("k").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
+    b = li.where("l_returnflag <> 'A' or l_linenumber > 1").groupBy("k", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q")).groupBy("k").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
     return M.reconcile(a, b, ["k"], ["n"], ["q"], 1e-6).select("k", "a_n", "b_n", "agrees")
 
 
@@ -337,15 +334,6 @@ def src21_metrics_lines(spark, sf):
     return metrics_lines(lines, "k long").select(F.col("event_id").alias("id"), F.col("metrics.k").alias("k"))
 
 
-@query("sp10_weighted_resample")
-def sp10_weighted_resample(spark, sf):
-    o = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    rate = F.when(F.col("o_orderstatus") == "P", 4.0).when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.5)
-    u = S.order_hash(F.col("o_orderkey"), 11) / S.MODULUS
-    copies = (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    return o.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
-
-
 @query("ml2_logistic_baseline")
 def ml2_logistic_baseline(spark, sf):
     from ..operators.baselines import train_eval
@@ -375,9 +363,10 @@ def a17_first_occurrence(spark, sf):
 
 @query("a18_length_percentiles", """SELECT lang, count(*)::BIGINT AS n, round(quantile_cont(n_chars, 0.5), 4) AS p50, round(quantile_cont(n_chars, 0.9), 4) AS p90, round(quantile_cont(n_chars, 0.99), 4) AS p99, max(n_chars) AS longest, round(avg((n_chars > 5000)::INT), 6) AS over_budget FROM documents GROUP BY lang""")
 def a18_length_percentiles(spark, sf):
-    q = F.percentile("n_chars", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    d = load(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), q.alias("q"), F.max("n_chars").alias("longest"), F.round(F.avg((F.col("n_chars") > 5000).cast("int")), 6).alias("over_budget"))
-    return d.select("lang", "n", *(F.round(F.col("q")[i], 4).alias(p) for i, p in enumerate(("p50", "p90", "p99"))), "longest", "over_budget")
+    docs = load(spark, sf, "documents").select("lang", "n_chars")
+    d = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("longest"), F.round(F.avg((F.col("n_chars") > 5000).cast("int")), 6).alias("over_budget"))
+    q = exact_quantiles(docs, ["lang"], "n_chars", {"p50": 0.5, "p90": 0.9, "p99": 0.99}).drop("n")
+    return d.join(q, "lang", "left").select("lang", "n", *(F.round(p, 4).alias(p) for p in ("p50", "p90", "p99")), "longest", "over_budget")
 
 
 @query("sp13_downsample", """SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R' OR ((l_orderkey + 3) * 2654435761) % 4294967296 < 0.25 * 4294967296""")
