@@ -19,6 +19,19 @@ def _model(kind: str, n: int):
     }[kind]()
 
 
+#: Model groups that are trained together.
+GROUPS = {"both": ("rf", "gbt"), "all": ("lr", "nb", "rf", "gbt", "mlp", "svm"), "all_wo_svm": ("lr", "nb", "rf", "gbt", "mlp")}
+
+
+def train_eval_group(df: DataFrame, features: list[str], label: str, train: str, group: str) -> DataFrame:
+    """train_eval of each model of a group, with its kind as column model."""
+    out = None
+    for kind in GROUPS[group]:
+        one = train_eval(df, features, label, train, kind).withColumn("model", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def train_eval(df: DataFrame, features: list[str], label: str, train: str, kind: str) -> DataFrame:
     """Fit on rows where train holds, confusion metrics on the others; missing features count as 0."""
     x = df.select(F.col(label).cast("double").alias("label"), F.col(train).alias("_train"), *(F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f) for f in features))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import io
+import re
 import tarfile
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEMBERS = "archive string, member string, kind string, size long, lines array<string>, error string"
+MEMBERS = "archive string, member string, kind string, size long, lines array<string>, error string, first_line long"
+#: Lines of a row.
+LINES = 20_000
 
 
 def _kind(name: str) -> str | None:
@@ -23,24 +27,37 @@ def _kind(name: str) -> str | None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row per wanted member of every archive; a broken archive is one row with its error. Archives are one run each."""
+    """Rows of up to LINES lines of every wanted member of every archive, the first of them numbered first_line (from 1).
+
+    Archives are read as streams, one task for each, so neither an archive nor a member is ever held whole. A
+    broken archive gives the members before the fault and a row with the error. Archives are one run each.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         names = [c.split()[0] for c in MEMBERS.split(", ")]
         for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                rows = []
+            for path in b["path"]:
+                # Names hold characters that mean something in URIs.
+                system, at = (fs.LocalFileSystem(), re.sub("^file:/+", "/", path)) if path.startswith("file:") else fs.FileSystem.from_uri(quote(path, safe="/:%"))
                 try:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    with system.open_input_stream(at, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
                         for m in tar:
                             if m.isfile() and (kind := _kind(m.name)):
-                                text = tar.extractfile(m).read().decode("utf-8", "replace")
-                                rows.append((path, m.name, kind, m.size, text.splitlines(), None))
-                except (tarfile.TarError, EOFError, OSError) as e:
-                    rows.append((path, None, None, None, None, str(e)))
-                yield pd.DataFrame(rows, columns=names)
+                                first, lines = 1, []
+                                for line in tar.extractfile(m):
+                                    lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
+                                    if len(lines) == LINES:
+                                        yield pd.DataFrame([(path, m.name, kind, m.size, lines, None, first)], columns=names)
+                                        first, lines = first + LINES, []
+                                if lines or first == 1:
+                                    yield pd.DataFrame([(path, m.name, kind, m.size, lines, None, first)], columns=names)
+                except (tarfile.TarError, EOFError, OSError, zlib.error) as e:
+                    yield pd.DataFrame([(path, None, None, None, None, str(e), None)], columns=names).astype({"size": "Int64", "first_line": "Int64"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, MEMBERS)
+    paths = spark.read.format("binaryFile").load(path).select("path")  # contents are not read
+    return paths.repartition("path").mapInPandas(read, MEMBERS)
 
 
 def run_columns(run_id: Column) -> dict[str, Column]:
@@ -54,7 +71,7 @@ def manifest(members: DataFrame) -> DataFrame:
     run = F.regexp_extract("archive", r"([^/]+?)(?:\.tgz|\.tar\.gz)?$", 1)
     n = lambda k: F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).cast("long")
     attackers = F.sum(F.when((F.col("kind") == "vehicle") & F.col("member").rlike(r"-A1\.json$"), 1).otherwise(0)).cast("long")
-    m = members.groupBy(run.alias("run_id")).agg(n("vehicle").alias("vehicle_files"), attackers.alias("attacker_vehicle_files"), n("sca").alias("sca_files"), n("groundtruth").alias("groundtruth_files"), F.max("error").alias("error"))
+    m = members.where("first_line = 1 or error is not null").groupBy(run.alias("run_id")).agg(n("vehicle").alias("vehicle_files"), attackers.alias("attacker_vehicle_files"), n("sca").alias("sca_files"), n("groundtruth").alias("groundtruth_files"), F.max("error").alias("error"))
     m = m.withColumns(run_columns(F.col("run_id")))
     status = F.when(F.col("error").isNotNull() | (F.col("vehicle_files") == 0), "error").when((F.col("sca_files") == 0) | (F.col("groundtruth_files") == 0) | F.col("attacker_type").isNull(), "warn").otherwise("ok")
     note = F.concat_ws("; ", F.col("error"), F.when(F.col("vehicle_files") == 0, "no vehicle logs"), F.when(F.col("sca_files") == 0, "no .sca"), F.when(F.col("groundtruth_files") == 0, "no ground truth"), F.when(F.col("attacker_type").isNull(), "run id not parsed"))
