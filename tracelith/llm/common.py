@@ -15,6 +15,7 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LOCAL: dict[str, str] = {}
 
 
@@ -133,9 +134,11 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application, whatever their Python path is.
 
-    Arrow batches are kept small: a worker holds a few copies of one, and texts are long.
+    Arrow batches are kept small where the session has Spark's default: a worker holds a few copies of one, and
+    texts are long. A size of the user's own stays.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

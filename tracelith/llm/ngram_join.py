@@ -5,12 +5,16 @@ every pair that can link shares a tile. Two sets of a tile that link differ in a
 H = (1 - t) / (1 + t) * (|x| + |y|) shingles. The tile cuts the hash space into more segments than
 that, so a linked pair agrees wholly on a segment, and only sets that agree on a segment (its shingles
 and its number) are candidates: passages that many documents share scatter over segments that also
-hold shingles of their own and make no candidates. A hashed bitmap's bit counts bound the overlap from
-above, and sorted-array intersection decides. Sets that are equal are one class throughout.
-
-Candidates come in rounds: in star rounds every set with one hub, the first set of a segment group, and
-at last, for groups that still hold several components, pairs across components only. So a group of copies costs a
-link each, and no link between different components is lost.
+hold shingles of their own and make no candidates. Hashed bitmaps of the candidates bound their overlap
+from above by bit counts, and an intersection of sorted arrays decides. Sets that are equal are one
+class throughout; segments with the same members are one group.
+
+Candidates are compared inside tasks, which emit a spanning forest of the links they find. First every
+set with one hub, the first set of a group. Of the groups that still hold several labels, those of up to
+SMALL sets, or up to half a set's shingles and BLOCK sets, list the pairs that bitmaps leave, and each pair is
+compared once, however many groups have it; larger groups are cut into pairs of blocks of BLOCK sets and never
+list pairs. So a group of copies costs a link each, the rows between steps are at most BLOCK / 2 a member,
+or the blocks of its group, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -19,18 +23,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, components, parts, written
+from .common import SEPARATORS, components, discard, parts, written
 
-#: Longs of the narrow bitmap signature, which goes with group members, and bits of the wide one, which tests pairs.
-WORDS, WIDE = 8, 4096
-#: Star rounds before pairs across components are compared.
-STARS = 2
-#: Signatures of a set that tell in which group a pair is compared.
-LISTED = 32
+#: Sets of any group whose pairs are listed, sets in a block of a larger one, and partners of a set that are compared in one unit.
+SMALL, BLOCK, FAN = 32, 512, 64
+#: Most bits of a bitmap, and of the folded one that goes with the members of groups.
+WIDEST, NARROW = 1 << 14, 1 << 11
 #: Characters of text hashed at once.
 CHUNK = 4_000_000
 _TO_SPACE = {ord(c): " " for c in SEPARATORS[1:]} | {i: i + 32 for i in range(65, 91)}
@@ -135,190 +138,387 @@ def _signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int)
     return np.concatenate([a for a, _ in outs]), np.concatenate([b for _, b in outs])
 
 
-def _chunks(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    ends = np.cumsum([len(t) if t else 0 for t in b["text"]]) // CHUNK
-    for k in np.unique(ends):
-        yield b[ends == k]
-
-
-def _bitmaps(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, list[bytes]]:
-    """Narrow bitmaps as longs, and wide ones; the narrow is the wide one folded."""
-    bits = np.zeros((n, WIDE), bool)
-    bits[doc, (h % np.uint64(WIDE)).astype(np.int64)] = True
-    narrow = bits.reshape(n, WIDE // (WORDS * 64), WORDS * 64).any(axis=1)
-    wide = np.packbits(bits, axis=1, bitorder="little")
-    return np.packbits(narrow, axis=1, bitorder="little").view("<i8").reshape(n, WORDS), [x.tobytes() for x in wide]
+def _set_ids(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit ids of each set (rows by 2)."""
+    out = np.zeros((len(size), 2), np.uint64)
+    some = np.flatnonzero(size)
+    if len(some):
+        start = np.searchsorted(doc, some)
+        for k, salt in enumerate((0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)):
+            out[some, k] = np.add.reduceat(_mix(h ^ np.uint64(salt)), start)
+    return _mix(out + size.astype(np.uint64)[:, None]).view(np.int64)
 
 
-def _set_ids(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(size), np.uint64)
-    np.add.at(out, doc, _mix(h ^ np.uint64(0x9E3779B97F4A7C15)))
-    return _mix(out + size.astype(np.uint64)).view(np.int64)
+def _chunks(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of about CHUNK characters, with their texts."""
+    texts = b.column("text").to_pylist()
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held >= CHUNK or i + 1 == len(texts):
+            yield b.slice(at, i + 1 - at), texts[at : i + 1]
+            at, held = i + 1, 0
 
 
-META = "doc_id long, size long, set_id long, bits array<long>, wide binary, bucket int, blob binary"
+META = "doc_id long, text_key long, size long, s1 long, s2 long, bucket int, blob binary"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
 
 def _scan(n: int, percent: int, buckets: int):
-    """Per document a row of size, set_id and bitmap; per chunk and bucket a row of packed (signature, set_id)."""
+    """Per document a row of its set's size and ids; per chunk and bucket a row of packed (signature, s1)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _chunks(whole):
-                doc, h = shingles(b["text"].tolist(), n)
-                size = np.bincount(doc, minlength=len(b))
-                ids, (bits, wide) = _set_ids(doc, h, size), _bitmaps(doc, h, len(b))
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "size": size, "set_id": ids, "bits": list(bits), "wide": wide, "bucket": -1, "blob": None})
+            for b, texts in _chunks(whole):
+                doc, h = shingles(texts, n)
+                size = np.bincount(doc, minlength=len(texts))
+                ids = _set_ids(doc, h, size)
+                # The rows of a set meet in one bucket, spread by text so that copies of one text don't.
+                to = (ids[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+                yield pa.record_batch([b.column("doc_id"), b.column("text_key"), pa.array(size), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(to), pa.nulls(len(texts), pa.binary())], schema=SCHEMA)
                 # Sets equal to an earlier one of the chunk have their signatures already.
-                _, one = np.unique(ids, return_index=True)
-                keep = np.zeros(len(b), bool)
+                one = np.unique(ids, axis=0, return_index=True)[1]
+                keep = np.zeros(len(texts), bool)
                 keep[one] = True
                 of = keep[doc]
                 d, sig = _signatures(doc[of], h[of], np.where(keep, size, 0), percent)
                 pack = np.empty((len(sig), 2), np.int64)
-                pack[:, 0], pack[:, 1] = sig.view(np.int64), ids[d]
+                pack[:, 0], pack[:, 1] = sig.view(np.int64), ids[d, 0]
                 to = (sig >> np.uint64(40)).astype(np.int64) % buckets
                 order = np.argsort(to, kind="stable")
                 pack, to = pack[order], to[order]
                 cut = np.searchsorted(to, np.arange(buckets + 1))
-                rows = [k for k in range(buckets) if cut[k] < cut[k + 1]]
-                if rows:
-                    yield pd.DataFrame(
-                        {"doc_id": None, "size": None, "set_id": None, "bits": None, "wide": None, "bucket": rows, "blob": [pack[cut[k] : cut[k + 1]].tobytes() for k in rows]}
-                    ).astype({"doc_id": "Int64", "size": "Int64", "set_id": "Int64"})
+                rows = np.flatnonzero(cut[1:] > cut[:-1])
+                none = pa.nulls(len(rows), pa.int64())
+                yield pa.record_batch([none] * 5 + [pa.array(rows.astype(np.int32)), pa.array([pack[cut[k] : cut[k + 1]].tobytes() for k in rows], pa.binary())], schema=SCHEMA)
 
     return run
 
 
-def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The signatures of a reducer's buckets (each whole in one task): members of every group of two sets or more."""
+GROUPED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("size", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("g", pa.int64()), ("times", pa.int64())])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document rows as they come; of a reducer's buckets (each whole in one task) the groups of two sets or more.
+
+    A group is named by a hash of its members, so equal groups meet wherever they are; should two
+    groups get one name they are compared together, which loses nothing. A bucket takes 16 bytes a member.
+    """
     held: dict[int, list[bytes]] = {}
     for b in batches:
-        for k, blob in zip(b["bucket"], b["blob"]):
+        meta = pc.is_null(b.column("blob"))
+        m, x = b.filter(meta), b.filter(pc.invert(meta))
+        if len(m):
+            none = pa.nulls(len(m), pa.int64())
+            yield pa.record_batch([m.column(c) for c in ("doc_id", "text_key", "size", "s1", "s2")] + [none, none], schema=GROUPED)
+        for k, blob in zip(x.column("bucket").to_pylist(), x.column("blob").to_pylist()):
             held.setdefault(k, []).append(blob)
     for k in list(held):
         x = np.frombuffer(b"".join(held.pop(k)), np.int64).reshape(-1, 2)
         x = x[np.lexsort((x[:, 1], x[:, 0]))]
-        new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
-        x = x[new]
-        group = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]])
-        count = np.diff(np.r_[group, len(x)])
-        many = np.repeat(count > 1, count)
-        hub = np.repeat(x[group, 1], count)
-        for lo in range(0, len(x), 1 << 20):
-            at = np.flatnonzero(many[lo : lo + (1 << 20)]) + lo
-            if len(at):
-                yield pd.DataFrame({"sig": x[at, 0], "set_id": x[at, 1], "hub": hub[at]})
-
-
-def _bound(percent: int) -> Column:
-    """Whether bit counts leave the pair a chance: overlap is at most |x| less the bits x alone has, and so for y."""
-    only_a = sum((F.bit_count(F.col("abits")[i].bitwiseAND(F.bitwise_not(F.col("bbits")[i]))) for i in range(WORDS)), F.lit(0))
-    only_b = sum((F.bit_count(F.col("bbits")[i].bitwiseAND(F.bitwise_not(F.col("abits")[i]))) for i in range(WORDS)), F.lit(0))
-    most = F.least(F.col("asize") - only_a, F.col("bsize") - only_b)
-    return most * (100 + percent) >= percent * (F.col("asize") + F.col("bsize"))
-
-
-def _wide_bound(percent: int):
-    """The same bound by the wide bitmaps."""
-
-    @F.pandas_udf("boolean")
-    def possible(asize: pd.Series, bsize: pd.Series, abits: pd.Series, bbits: pd.Series) -> pd.Series:
-        if not len(asize):
-            return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (abits, bbits))
-        only_x, only_y = (np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) for p, q in ((x, y), (y, x)))
-        most = np.minimum(asize.to_numpy() - only_x, bsize.to_numpy() - only_y)
-        return pd.Series(most * (100 + percent) >= percent * (asize.to_numpy() + bsize.to_numpy()))
-
-    return possible
-
-
-def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that link, by intersection of their sorted arrays (sets: set_id, shingles)."""
-
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * both >= percent * (len(p) + len(q) - both))
-        return pd.Series(out, dtype=bool)
-
-    left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(linked("x", "y")).select("a", "b")
+        x = x[np.r_[True, (x[1:] != x[:-1]).any(axis=1)]]
+        start = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]])
+        count = np.diff(np.r_[start, len(x)])
+        x = x[np.repeat(count > 1, count), 1]
+        count = count[count > 1]
+        if not len(x):
+            continue
+        start = np.cumsum(count) - count
+        name = np.add.reduceat(_mix(x.view(np.uint64)), start)
+        name = _mix(name + count.astype(np.uint64)).view(np.int64)
+        _, one, times = np.unique(name, return_index=True, return_counts=True)
+        count, start, name = count[one], start[one], name[one]
+        for lo in range(0, len(one), 100_000):
+            c, a = count[lo : lo + 100_000], start[lo : lo + 100_000]
+            at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(a, c)
+            for cut in range(0, len(at), 1 << 20):
+                part = slice(cut, cut + (1 << 20))
+                none = pa.nulls(len(at[part]), pa.int64())
+                yield pa.record_batch([none, none, none, pa.array(x[at[part]]), none, pa.array(np.repeat(name[lo : lo + 100_000], c)[part]), pa.array(np.repeat(times[lo : lo + 100_000], c)[part])], schema=GROUPED)
+
+
+def _bitmap(array: np.ndarray) -> bytes:
+    """Hashed bitmap of a set, some 4 to 8 bits a shingle."""
+    bits = min(WIDEST, max(512, 1 << (4 * len(array)).bit_length()))
+    out = np.zeros(bits, bool)
+    out[(array % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap (or rows of them) of 64-bit words folded to fewer: h modulo the smaller width."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
+def _arrays(n: int):
+    """The sorted shingles and bitmap of each text's set, for rows whose text has the set that the node stands for."""
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("narrow", pa.binary()), ("bits", pa.binary()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b, texts in _chunks(whole):
+                doc, h = shingles(texts, n)
+                cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+                ids = _set_ids(doc, h, np.diff(cut))
+                at = np.flatnonzero((ids[:, 0] == b.column("s1").to_numpy()) & (ids[:, 1] == b.column("s2").to_numpy()))
+                sets = [h[cut[i] : cut[i + 1]] for i in at]
+                bits = [_bitmap(x) for x in sets]
+                narrow = [_folded(np.frombuffer(x, np.uint64), NARROW // 64).tobytes() for x in bits]
+                narrow, bits, raw = (pa.array(x, pa.binary()) for x in (narrow, bits, [x.tobytes() for x in sets]))
+                yield pa.record_batch([b.column("node").take(pa.array(at)), pa.array(np.diff(cut)[at]), narrow, bits, raw], schema=schema)
+
+    return run
+
+
+def _hopeful(percent: int):
+    """Of pairs with their sizes and bitmaps those that bit counts leave a chance, by the narrower width of the two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for m, n, p, q in zip(*(b.column(c).to_pylist() for c in ("size_a", "size_b", "bits_a", "bits_b"))):
+                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                x, y = _folded(x, len(y)), _folded(y, len(x))
+                both, nx, ny = (int(np.bitwise_count(z).sum()) for z in (x & y, x, y))
+                keep.append((min(m - nx, n - ny) + both) * (100 + percent) >= percent * (m + n))
+            yield pa.record_batch([b.column("a"), b.column("b")], schema=LINKS).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _group_pairs(percent: int):
+    """Pairs of a group that bear different labels and that bit counts leave a chance. Rows come sorted by group, of BLOCK sets at most."""
+
+    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        words = min(len(r[4]) for r in rows) // 8
+        x = np.stack([_folded(np.frombuffer(r[4], np.uint64), words) for r in rows])
+        node, label, size = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        count = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        both = np.stack([np.bitwise_count(r & x).sum(axis=1, dtype=np.int64) for r in x])
+        most = np.minimum((size - count)[:, None], (size - count)[None, :]) + both
+        ok = (most * (100 + percent) >= percent * (size[:, None] + size[None, :])) & (label[:, None] != label[None, :])
+        i, j = np.nonzero(np.triu(ok, 1))
+        if len(i):
+            yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], schema=LINKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("g", "node", "label", "size", "narrow"))):
+                if held and held[0][0] != row[0]:
+                    yield from pairs(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+class _Block:
+    """Sets to compare: nodes, labels, and the sorted arrays end to end."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.node = [r[0] for r in rows]
+        self.label = np.array([r[1] for r in rows], np.int64)
+        self.arrays = [np.frombuffer(r[2], np.uint64) for r in rows]
+        self.size = np.array([len(a) for a in self.arrays], np.int64)
+
+    def bitmap(self, bits: int) -> np.ndarray:
+        out = np.zeros((len(self.node), bits), bool)
+        out[np.repeat(np.arange(len(self.node)), self.size), (np.concatenate(self.arrays) % np.uint64(bits)).astype(np.int64)] = True
+        return np.packbits(out, axis=1).view(np.uint64)
+
+
+def _possible(a: _Block, b: _Block, percent: int) -> np.ndarray:
+    """Which pairs bit counts leave a chance: overlap is at most |x| less the bits that x alone has, and so for y."""
+    bits = min(WIDEST, max(512, 1 << int(4 * max(a.size.max(), b.size.max())).bit_length()))
+    x = a.bitmap(bits)
+    y = x if a is b else b.bitmap(bits)
+    both = np.stack([np.bitwise_count(r & y).sum(axis=1, dtype=np.int64) for r in x])
+    nx, ny = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (x, y))
+    most = np.minimum((a.size - nx)[:, None], (b.size - ny)[None, :]) + both
+    out = most * (100 + percent) >= percent * (a.size[:, None] + b.size[None, :])
+    out &= a.label[:, None] != b.label[None, :]
+    return np.triu(out, 1) if a is b else out
+
+
+def _overlaps(a: _Block, b: _Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sorted arrays i of a and j of b."""
+    rows, cols = np.unique(i), np.unique(j)
+    if len(i) <= 4 * (len(rows) + len(cols)):
+        return np.array([len(np.intersect1d(a.arrays[p], b.arrays[q], assume_unique=True)) for p, q in zip(i.tolist(), j.tolist())], np.int64)
+    # Many pairs of the same sets: all arrays are intersected at once, and the common shingles counted by pair.
+    x, y = np.concatenate([a.arrays[p] for p in rows]), np.concatenate([b.arrays[q] for q in cols])
+    common = np.intersect1d(x, y)
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    for lo in range(0, len(common), 4096):
+        part = common[lo : lo + 4096]
+
+        def held(block: _Block, which: np.ndarray, part: np.ndarray = part) -> np.ndarray:
+            m = np.zeros((len(which), len(part)), np.float32)
+            for r, k in enumerate(which):
+                at = np.searchsorted(part, block.arrays[k])
+                at = at[(at < len(part)) & (part[np.minimum(at, len(part) - 1)] == block.arrays[k])]
+                m[r, at] = 1
+            return m
+
+        out += held(a, rows) @ held(b, cols).T
+    return out[np.searchsorted(rows, i), np.searchsorted(cols, j)].astype(np.int64)
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _compare(percent: int):
+    """Links between the sides of each unit, or inside side 0 where there is no side 1, as a spanning forest of labels.
+
+    Rows come sorted by unit and side. Side 0 is a hub or a block; side 1 streams by in blocks.
+    """
+
+    def links(a: _Block, b: _Block, root: dict[int, int]) -> Iterator[tuple[int, int]]:
+        def find(k: int) -> int:
+            while (up := root.setdefault(k, k)) != k:
+                root[k] = k = root.setdefault(up, up)
+            return k
+
+        i, j = np.nonzero(_possible(a, b, percent))
+        step = 1 << 18
+        for lo in range(0, len(i), step):
+            p, q = i[lo : lo + step], j[lo : lo + step]
+            # What has come together meanwhile needs no intersection.
+            la, lb = (np.array([find(x) for x in m.label.tolist()]) for m in (a, b))
+            apart = la[p] != lb[q]
+            p, q = p[apart], q[apart]
+            if not len(p):
+                continue
+            both = _overlaps(a, b, p, q)
+            ok = 100 * both >= percent * (a.size[p] + b.size[q] - both)
+            for x, y in zip(p[ok].tolist(), q[ok].tolist()):
+                if (r := find(int(a.label[x]))) != (s := find(int(b.label[y]))):
+                    root[max(r, s)] = min(r, s)
+                    yield a.node[x], b.node[y]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, ones, first, root, out = None, [], [], None, {}, []
+
+        def stream() -> None:
+            """Compare what has come of side 1 with side 0."""
+            nonlocal first
+            if held and ones:
+                first = first or _Block(held)
+                out.extend(links(first, _Block(ones), root))
+            ones.clear()
+
+        def close(two: bool) -> None:
+            stream()
+            if not two and len(held) > 1:
+                whole = _Block(held)
+                out.extend(links(whole, whole, root))
+
+        two = False
+        for b in batches:
+            for unit, part, side, node, label, raw in zip(*(b.column(c).to_pylist() for c in ("unit", "part", "side", "node", "label", "shingles"))):
+                if key != (unit, part):
+                    close(two)
+                    key, held, first, root, two = (unit, part), [], None, {}, False
+                (ones if side else held).append((node, label, raw))
+                two |= side > 0
+                if len(ones) >= BLOCK:
+                    stream()
+            if len(out) >= 10_000:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], schema=LINKS)
+                out.clear()
+        close(two)
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], schema=LINKS)
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text; other columns are not read).
 
     Documents link at Jaccard >= percent / 100 on sets of n-word shingles; component_id is the smallest
-    doc_id reachable. Null, empty and wordless texts have empty sets and link with nothing. Rows that
-    repeat a doc_id give a row each.
+    doc_id reachable. Null, empty and wordless texts have empty sets and link with nothing. Rows are
+    linked by their texts alone: rows that repeat a doc_id give a row each, and rows with a null doc_id
+    get the smallest doc_id of their component, null if it has none. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     buckets = 2 * parts(spark)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = written(src.mapInPandas(_scan(n, percent, buckets), META), "shingled")
-    meta = scan.where("bucket = -1").select("doc_id", "size", "set_id", "bits", "wide")
-    blobs = scan.where("bucket >= 0").select("bucket", "blob")
-    groups = written(blobs.repartition(buckets, "bucket").mapInPandas(_gather, "sig long, set_id long, hub long"), "groups")
-    # One row per set that is in any group.
-    sets_meta = meta.where("size > 0").groupBy("set_id").agg(F.min("doc_id").alias("low"), F.min("size").alias("size"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
-    sets_meta = written(sets_meta, "sets")
-    light = sets_meta.select("set_id", "size", "bits")
-
-    def pruned(pairs: DataFrame) -> DataFrame:
-        la = sets_meta.select(F.col("set_id").alias("a"), F.col("size").alias("asize"), F.col("wide").alias("abits"))
-        lb = sets_meta.select(F.col("set_id").alias("b"), F.col("size").alias("bsize"), F.col("wide").alias("bbits"))
-        return pairs.join(la, "a").join(lb, "b").where(_wide_bound(percent)("asize", "bsize", "abits", "bbits")).select("a", "b")
-
-    def arrays(pairs: DataFrame) -> DataFrame:
-        """Shingles of the sets in pairs, read again from one document each."""
-        need = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-        one = sets_meta.join(need, "set_id").select("set_id", F.col("low").alias("doc_id"))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for whole in batches:
-                for b in _chunks(whole):
-                    doc, h = shingles(b["text"].tolist(), n)
-                    cut = np.searchsorted(doc, np.arange(len(b) + 1))
-                    ids = _set_ids(doc, h, np.diff(cut))
-                    yield pd.DataFrame({"set_id": ids, "shingles": [h[cut[i] : cut[i + 1]].tobytes() for i in range(len(b))]})
-
-        # A doc_id may repeat with another text; the set_id tells.
-        got = src.join(one, "doc_id", "left_semi").mapInPandas(run, "set_id long, shingles binary").join(need, "set_id", "left_semi")
-        return got.dropDuplicates(["set_id"])
-
-    # Star rounds: every set with the one hub it shares most segments with, among those of other components.
-    links, member = None, groups.withColumns({"c": F.col("set_id"), "ch": F.col("hub")})
-    for _ in range(STARS):
-        shared = member.where("c <> ch").groupBy("set_id", "hub").agg(F.count(F.lit(1)).alias("k"))
-        best = shared.groupBy(F.col("set_id").alias("b")).agg(F.max_by("hub", F.struct("k", "hub")).alias("a"))
-        star = written(pruned(best.select("a", "b")), "star")
-        new = written(_exact(star, arrays(star), percent), "star-links")
-        links = new if links is None else links.union(new)
-        comp = written(components(links).select(F.col("node").alias("set_id"), F.col("component").alias("c")), "comp")
-        hubs = comp.select(F.col("set_id").alias("hub"), F.col("c").alias("ch"))
-        member = groups.join(comp, "set_id", "left").join(hubs, "hub", "left")
-        member = written(member.select("sig", "set_id", "hub", F.coalesce("c", "set_id").alias("c"), F.coalesce("ch", "hub").alias("ch")), "members")
-    mixed = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    rest = member.join(mixed, "sig", "left_semi")
-    # A pair shares up to all its segments; it is compared in the first that both list among their LISTED least.
-    listed = rest.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LISTED).alias("sigs"))
-    rest = written(rest.join(light, "set_id").join(listed, "set_id"), "mixed")
-    left = rest.select("sig", F.col("set_id").alias("a"), F.col("c").alias("ca"), F.col("size").alias("asize"), F.col("bits").alias("abits"), F.col("sigs").alias("asigs"))
-    right = rest.select("sig", F.col("set_id").alias("b"), F.col("c").alias("cb"), F.col("size").alias("bsize"), F.col("bits").alias("bbits"), F.col("sigs").alias("bsigs"))
-    first = F.coalesce(F.array_min(F.array_intersect("asigs", "bsigs")), F.col("sig")) == F.col("sig")
-    cross = left.join(right, "sig").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _bound(percent) & first).select("a", "b").distinct()
-    cross = written(pruned(written(cross, "cross")), "possible")
-    more = written(_exact(cross, arrays(cross), percent), "cross-links")
-    low = sets_meta.select("set_id", "low")
-    edges = links.union(more)
-    edges = edges.join(low.select(F.col("set_id").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("set_id").alias("b"), F.col("low").alias("lb")), "b")
-    final = components(edges.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("low"), "component")
-    to = written(low.join(final, "low", "left").select("set_id", F.coalesce("component", "low").alias("component_id")), "of-set")
-    out = meta.join(to, "set_id", "left")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    out_schema = "doc_id long, text_key long, size long, s1 long, s2 long, g long, times long"
+    gathered = written(src.mapInArrow(_scan(n, percent, buckets), META).repartition(buckets, "bucket").mapInArrow(_gather, out_schema), "gathered")
+    meta = gathered.where("g is null").select("doc_id", "text_key", "size", "s1", "s2")
+    # A row per set, with a text that has it. Ids of 64 bits meet by chance among so many, both together don't.
+    one = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key")).alias("one")
+    sets = meta.where("size > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("low"), F.min("size").alias("size"), one)
+    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    groups = gathered.where("g is not null").groupBy("g", "s1").agg(F.sum("times").alias("times"))
+    member = written(groups.join(sets.select("s1", "node"), "s1").select("g", "node", "times"), "members")
+    need = sets.join(member.select("node").distinct(), "node").select("node", "s1", "s2", "size", "one.*")
+    need = written(need, "needed")
+    # One text of each needed set; the texts are dealt once, and repeated rows go where they meet.
+    keyed = src.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key", "text").join(need.drop("size").hint("merge"), ["id", "text_key"])
+    keyed = keyed.dropDuplicates(["id", "text_key", "node"]).select("text", "node", "s1", "s2")
+    arrays = written(keyed.mapInArrow(_arrays(n), "node long, size long, narrow binary, bits binary, shingles binary"), "arrays")
+
+    def compared(units: DataFrame) -> DataFrame:
+        """Links of units (unit, part, side, node, label)."""
+        rows = units.join(arrays.select("node", "shingles"), "node").repartition("unit", "part").sortWithinPartitions("unit", "part", "side")
+        return written(rows.select("unit", "part", "side", "node", "label", "shingles").mapInArrow(_compare(percent), "a long, b long"), "links")
+
+    def stars(pairs: DataFrame) -> DataFrame:
+        """Units of the distinct pairs (a, b) that bit counts leave a chance: a with up to about FAN of its partners."""
+        for side in "ab":
+            pairs = pairs.join(arrays.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+        pairs = written(pairs.mapInArrow(_hopeful(percent), "a long, b long"), "hopeful")
+        fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan"))
+        ends = pairs.join(fan, "a").select(F.col("a").alias("unit"), F.pmod(F.xxhash64("b"), "fan").cast("int").alias("part"), F.col("b").alias("node"))
+        hubs = ends.select("unit", "part", F.lit(0).alias("side"), F.col("unit").alias("node")).distinct()
+        return hubs.unionByName(ends.withColumn("side", F.lit(1))).withColumn("label", F.col("node"))
+
+    # A star round: every set with the one hub it shares most segments with.
+    hub = member.groupBy("g").agg(F.min("node").alias("hub"))
+    shared = member.join(hub, "g").where("node <> hub").groupBy("node", "hub").agg(F.sum("times").alias("k"))
+    best = shared.groupBy(F.col("node").alias("b")).agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("a"))
+    best = written(best, "best")
+    links = [compared(stars(best))]
+    # Labels say what is joined already: the smallest hub up to two links away.
+    up = links[0].groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
+    hop = written(need.select("node", "size").join(up, "node", "left").select("node", "size", F.least("node", "up").alias("label")), "label")
+    two = hop.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    label = hop.join(two, "label").select("node", "size", F.least("label", "next").alias("label"))
+    m = written(member.join(label, "node").select("g", "node", "size", "label"), "labelled")
+    mixed = m.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("size").alias("least")).where("lo <> hi")
+    # A set is in a group for every few of its shingles, so groups of fewer sets than that share most of their pairs.
+    listed = F.col("n") <= F.least(F.lit(BLOCK), F.greatest(F.lit(SMALL), F.col("least") / 2))
+    mixed = written(mixed.select("g", "n", listed.alias("listed")), "mixed")
+    m = m.select("g", "node", "label").join(mixed, "g")
+    few = m.where("listed").join(arrays.select("node", "size", "narrow"), "node").select("g", "node", "label", "size", "narrow")
+    few = few.repartition("g").sortWithinPartitions("g").mapInArrow(_group_pairs(percent), "a long, b long")
+    pairs = written(few.distinct().join(best, ["a", "b"], "left_anti"), "pairs")
+    links.append(compared(stars(pairs)))
+    # Large groups are compared in pairs of blocks.
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    big = m.where("not listed").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when((lo < hi) & (F.col("block") == hi), 1).otherwise(0)
+    units = big.select(F.col("g").alias("unit"), (lo * F.col("blocks") + hi).alias("part"), side.alias("side"), "node", "label")
+    links.append(compared(units))
+    spent = [best, hop, pairs]
+    discard(*spent, mixed, arrays, need, member)
+    edges = links[0]
+    for x in links[1:]:
+        edges = edges.union(x)
+    comp = written(components(edges), "comp")
+    discard(*links)
+    low = sets.join(comp, "node", "left").select("s1", "s2", "low", F.coalesce("component", "node").alias("component"))
+    least = low.groupBy("component").agg(F.min("low").alias("component_id"))
+    to = written(low.join(least, "component").select("s1", "s2", "component_id"), "of-set")
+    out = meta.join(to, ["s1", "s2"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
