@@ -440,3 +440,4 @@ def o1_feature_order(spark, sf):
     from pyspark.sql import Window
 
     return top.select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))  # 200 rows
+

@@ -41,7 +41,11 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "events")
+    return messages_of(load(spark, sf, "events"))
+
+
+def messages_of(e: DataFrame) -> DataFrame:
+    """Events, a table or a stream, read as messages."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     return e.select(
         F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("receiver"), F.col("user_id").alias("sender"), (F.col("user_id") * 4 + k % 4).alias("pseudo"),
