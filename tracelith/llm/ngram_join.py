@@ -12,9 +12,10 @@ class throughout; segments with the same members are one group.
 Candidates are compared inside tasks, which emit a spanning forest of the links they find. First every
 set with one hub, the first set of a group. Of the groups that still hold several labels, those of up to
 SMALL sets, or up to half a set's shingles and BLOCK sets, list the pairs that bitmaps leave, and each pair is
-compared once, however many groups have it; larger groups are cut into pairs of blocks of BLOCK sets and never
-list pairs. So a group of copies costs a link each, the rows between steps are at most BLOCK / 2 a member,
-or the blocks of its group, and no link between different components is lost.
+compared once at most, however many groups have it: one pair of each label first, others if they are apart after that. What is joined by then is one label; larger groups that still hold
+several are cut into pairs of blocks of BLOCK sets and never list pairs: bitmaps say which sets of two blocks have
+a partner there, and only those meet with their shingles. So a group of copies costs a link each, the rows between
+steps are at most BLOCK / 2 a member, or the blocks of its group, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -290,7 +291,7 @@ def _hopeful(percent: int):
 
 
 def _group_pairs(percent: int):
-    """Pairs of a group that bear different labels and that bit counts leave a chance. Rows come sorted by group, of BLOCK sets at most."""
+    """Pairs of a group that bear different labels and that bit counts leave a chance, with their labels. Rows come sorted by group, of BLOCK sets at most."""
 
     def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         words = min(len(r[4]) for r in rows) // 8
@@ -302,7 +303,8 @@ def _group_pairs(percent: int):
         ok = (most * (100 + percent) >= percent * (size[:, None] + size[None, :])) & (label[:, None] != label[None, :])
         i, j = np.nonzero(np.triu(ok, 1))
         if len(i):
-            yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], schema=LINKS)
+            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            yield pa.record_batch([pa.array(x) for x in (node[i], node[j], label[i], label[j])], names=["a", "b", "la", "lb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -318,6 +320,46 @@ def _group_pairs(percent: int):
     return run
 
 
+UNITS = pa.schema([("unit", pa.int64()), ("part", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("label", pa.int64())])
+
+
+def _partnered(percent: int):
+    """Of each unit the sets that bit counts leave a partner of another label, on the other side or, where there is one side, inside it.
+
+    Rows come sorted by unit, each with a bitmap, and hold two blocks of a group at most.
+    """
+
+    def live(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        words = min(len(r[6]) for r in rows) // 8
+        x = np.stack([_folded(np.frombuffer(r[6], np.uint64), words) for r in rows])
+        side, label, size = (np.array([r[k] for r in rows], np.int64) for k in (2, 4, 5))
+        spare = size - np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        two = side.any()
+        other = np.flatnonzero(side == 1) if two else np.arange(len(rows))
+        y, keep = x[other], np.zeros(len(rows), bool)
+        for i in np.flatnonzero(side == 0).tolist():
+            most = np.minimum(spare[i], spare[other]) + np.bitwise_count(x[i] & y).sum(axis=1, dtype=np.int64)
+            ok = (most * (100 + percent) >= percent * (size[i] + size[other])) & (label[i] != label[other])
+            keep[i] |= ok.any()
+            keep[other[ok]] = True
+        at = np.flatnonzero(keep)
+        if len(at):
+            yield pa.record_batch([pa.array([rows[i][k] for i in at], f.type) for k, f in enumerate(UNITS)], schema=UNITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in (*UNITS.names, "size", "bits"))):
+                if held and held[0][:2] != row[:2]:
+                    yield from live(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from live(held)
+
+    return run
+
+
 class _Block:
     """Sets to compare: nodes, labels, and the sorted arrays end to end."""
 
@@ -471,11 +513,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         rows = units.join(arrays.select("node", "shingles"), "node").repartition("unit", "part").sortWithinPartitions("unit", "part", "side")
         return written(rows.select("unit", "part", "side", "node", "label", "shingles").mapInArrow(_compare(percent), "a long, b long"), "links")
 
-    def stars(pairs: DataFrame) -> DataFrame:
-        """Units of the distinct pairs (a, b) that bit counts leave a chance: a with up to about FAN of its partners."""
+    def hopeful(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that bit counts leave a chance."""
         for side in "ab":
             pairs = pairs.join(arrays.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-        pairs = written(pairs.mapInArrow(_hopeful(percent), "a long, b long"), "hopeful")
+        return written(pairs.mapInArrow(_hopeful(percent), "a long, b long"), "hopeful")
+
+    def stars(pairs: DataFrame) -> DataFrame:
+        """Units of distinct pairs (a, b): a with up to about FAN of its partners."""
         fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan"))
         ends = pairs.join(fan, "a").select(F.col("a").alias("unit"), F.pmod(F.xxhash64("b"), "fan").cast("int").alias("part"), F.col("b").alias("node"))
         hubs = ends.select("unit", "part", F.lit(0).alias("side"), F.col("unit").alias("node")).distinct()
@@ -486,37 +531,52 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     shared = member.join(hub, "g").where("node <> hub").groupBy("node", "hub").agg(F.sum("times").alias("k"))
     best = shared.groupBy(F.col("node").alias("b")).agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("a"))
     best = written(best, "best")
-    links = [compared(stars(best))]
-    # Labels say what is joined already: the smallest hub up to two links away.
-    up = links[0].groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
-    hop = written(need.select("node", "size").join(up, "node", "left").select("node", "size", F.least("node", "up").alias("label")), "label")
-    two = hop.select(F.col("node").alias("label"), F.col("label").alias("next"))
-    label = hop.join(two, "label").select("node", "size", F.least("label", "next").alias("label"))
-    m = written(member.join(label, "node").select("g", "node", "size", "label"), "labelled")
+    near = [hopeful(best)]
+    links = [compared(stars(near[0]))]
+    # Labels say what is joined already, over any number of links.
+    starred = written(components(links[0]), "joined")
+    label = need.select("node", "size").join(starred, "node", "left").select("node", "size", F.coalesce("component", "node").alias("label"))
+    labelled = m = written(member.join(label, "node").select("g", "node", "size", "label"), "labelled")
     mixed = m.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("size").alias("least")).where("lo <> hi")
     # A set is in a group for every few of its shingles, so groups of fewer sets than that share most of their pairs.
     listed = F.col("n") <= F.least(F.lit(BLOCK), F.greatest(F.lit(SMALL), F.col("least") / 2))
     mixed = written(mixed.select("g", "n", listed.alias("listed")), "mixed")
     m = m.select("g", "node", "label").join(mixed, "g")
     few = m.where("listed").join(arrays.select("node", "size", "narrow"), "node").select("g", "node", "label", "size", "narrow")
-    few = few.repartition("g").sortWithinPartitions("g").mapInArrow(_group_pairs(percent), "a long, b long")
+    few = few.repartition("g").sortWithinPartitions("g").mapInArrow(_group_pairs(percent), "a long, b long, la long, lb long")
     pairs = written(few.distinct().join(best, ["a", "b"], "left_anti"), "pairs")
-    links.append(compared(stars(pairs)))
+    near.append(hopeful(pairs.select("a", "b")))
+    # Of the pairs of every label one first, with its least partner: what that joins needs no look at the others.
+    told = near[1].join(pairs, ["a", "b"]).groupBy(F.greatest("la", "lb").alias("hi")).agg(F.min(F.struct(F.least("la", "lb").alias("lo"), "a", "b")).alias("p"))
+    first = written(told.select("p.a", "p.b"), "first")
+    links.append(compared(stars(first)))
+    so_far = lambda c: c.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    met = written(components(so_far(starred).union(links[1])), "joined")
+    rest = near[1].join(first, ["a", "b"], "left_anti")
+    for side in "ab":
+        rest = rest.join(met.select(F.col("node").alias(side), F.col("component").alias(f"l{side}")), side, "left")
+    rest = written(rest.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b"), "rest")
+    links.append(compared(stars(rest)))
+    # What came together so far needs no second look: most large groups hold one label by now.
+    joined = written(components(so_far(met).union(links[2])), "joined")
+    large = m.where("not listed").drop("label").join(joined, "node", "left").select("g", "n", "node", F.coalesce("component", "node").alias("label"))
+    apart = large.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g")
+    large = written(large.join(apart, "g"), "large")
     # Large groups are compared in pairs of blocks.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    big = m.where("not listed").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    big = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
     side = F.when((lo < hi) & (F.col("block") == hi), 1).otherwise(0)
     units = big.select(F.col("g").alias("unit"), (lo * F.col("blocks") + hi).alias("part"), side.alias("side"), "node", "label")
+    # Narrow bitmaps are full beyond a bit a shingle.
+    bits = arrays.select("node", "size", F.when(F.col("size") <= NARROW, F.col("narrow")).otherwise(F.col("bits")).alias("bits"))
+    units = units.join(bits, "node").select(*UNITS.names, "size", "bits").repartition("unit", "part").sortWithinPartitions("unit", "part", "side")
+    units = written(units.mapInArrow(_partnered(percent), "unit long, part int, side int, node long, label long"), "partnered")
     links.append(compared(units))
-    spent = [best, hop, pairs]
-    discard(*spent, mixed, arrays, need, member)
-    edges = links[0]
-    for x in links[1:]:
-        edges = edges.union(x)
-    comp = written(components(edges), "comp")
-    discard(*links)
+    discard(best, *near, starred, pairs, first, met, rest, large, units, mixed, labelled, arrays, need, member)
+    comp = written(components(so_far(joined).union(links[3])), "comp")
+    discard(joined, *links)
     low = sets.join(comp, "node", "left").select("s1", "s2", "low", F.coalesce("component", "node").alias("component"))
     least = low.groupBy("component").agg(F.min("low").alias("component_id"))
     to = written(low.join(least, "component").select("s1", "s2", "component_id"), "of-set")
