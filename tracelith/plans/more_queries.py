@@ -46,10 +46,8 @@ def w6_context_features(spark, sf):
 d AS (SELECT p.id, greatest(0.0, least(1.0, 1 - greatest(0.0, sqrt(29)+20-{_DIST})/(sqrt(29)+20))) AS s FROM prior p JOIN msg a ON a.id = p.id JOIN msg b ON b.id = p.bid)
 SELECT m.id, count(d.s)::BIGINT AS n_fresh, round(min(d.s), 5) AS min_overlap_score, (count(*) FILTER (d.s < 0.5))::BIGINT AS n_violations FROM msg m LEFT JOIN d ON d.id = m.id GROUP BY m.id""")
 def w4_fresh_overlap(spark, sf):
-    f = O.fresh_latest(messages(spark, sf), "receiver", 2 * HOUR)
-    scores = F.transform("_fresh", lambda m: K.overlap_score(K.distance(m["x"], m["y"], F.col("x"), F.col("y")), F.lit(10.0), F.lit(10.0)))
-    f = f.withColumn("_s", scores)
-    return f.select("id", F.size("_s").cast("long").alias("n_fresh"), F.round(F.array_min("_s"), 5).alias("min_overlap_score"), F.size(F.filter("_s", lambda s: s < 0.5)).cast("long").alias("n_violations"))
+    f = O.fresh_overlap(messages(spark, sf), "receiver", 2 * HOUR)
+    return f.select("id", "n_fresh", F.round("min_overlap_score", 5).alias("min_overlap_score"), "n_violations")
 
 
 _SOFT = "CASE WHEN {v} <= -({t}) THEN 1.0 WHEN {v} >= {t} THEN 0.0 ELSE ({t} - {v}) / (2 * ({t})) END"
