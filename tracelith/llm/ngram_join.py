@@ -29,10 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, components, discard, parts, written
+from .common import SEPARATORS, components, discard, lean, parts, written
 
 #: Sets of any group whose pairs are listed, sets in a block of a larger one, and partners of a set that are compared in one unit.
 SMALL, BLOCK, FAN = 32, 512, 64
+#: Memberships of the groups that are dealt together.
+FAMILY = 1 << 14
 #: Most bits of a bitmap, and of the folded one that goes with the members of groups.
 WIDEST, NARROW = 1 << 14, 1 << 11
 #: Characters of text hashed at once.
@@ -192,6 +194,7 @@ def _scan(n: int, percent: int, buckets: int):
                 rows = np.flatnonzero(cut[1:] > cut[:-1])
                 none = pa.nulls(len(rows), pa.int64())
                 yield pa.record_batch([none] * 5 + [pa.array(rows.astype(np.int32)), pa.array([pack[cut[k] : cut[k + 1]].tobytes() for k in rows], pa.binary())], schema=SCHEMA)
+        _words.clear()
 
     return run
 
@@ -270,6 +273,7 @@ def _arrays(n: int):
                 narrow = [_folded(np.frombuffer(x, np.uint64), NARROW // 64).tobytes() for x in bits]
                 narrow, bits, raw = (pa.array(x, pa.binary()) for x in (narrow, bits, [x.tobytes() for x in sets]))
                 yield pa.record_batch([b.column("node").take(pa.array(at)), pa.array(np.diff(cut)[at]), narrow, bits, raw], schema=schema)
+        _words.clear()
 
     return run
 
@@ -291,17 +295,39 @@ def _hopeful(percent: int):
 
 
 def _group_pairs(percent: int):
-    """Pairs of a group that bear different labels and that bit counts leave a chance, with their labels. Rows come sorted by group, of BLOCK sets at most."""
+    """Pairs of a group that bear different labels and that bit counts leave a chance, with their labels, once a family.
+
+    Rows come sorted by family (hub, part), a set once with the groups that it is in. A group has BLOCK sets at most.
+    """
+
+    def chance(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+        both, nx, ny = (np.bitwise_count(z).sum(axis=-1, dtype=np.int64) for z in (x & y, x, y))
+        return (np.minimum(m - nx, n - ny) + both) * (100 + percent) >= percent * (m + n)
 
     def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        words = min(len(r[4]) for r in rows) // 8
-        x = np.stack([_folded(np.frombuffer(r[4], np.uint64), words) for r in rows])
-        node, label, size = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-        count = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-        both = np.stack([np.bitwise_count(r & x).sum(axis=1, dtype=np.int64) for r in x])
-        most = np.minimum((size - count)[:, None], (size - count)[None, :]) + both
-        ok = (most * (100 + percent) >= percent * (size[:, None] + size[None, :])) & (label[:, None] != label[None, :])
-        i, j = np.nonzero(np.triu(ok, 1))
+        node, label, size = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4))
+        bits = [np.frombuffer(r[5], np.uint64) for r in rows]
+        groups: dict[int, list[int]] = {}
+        for k, r in enumerate(rows):
+            for g in r[6]:
+                groups.setdefault(g, []).append(k)
+        seen = np.zeros(0, np.int64)
+        for at in groups.values():
+            at = np.array(at)
+            # Wide and folded bitmaps are compared by the width of the narrower one.
+            words = min(len(bits[k]) for k in at)
+            x = np.stack([_folded(bits[k], words) for k in at])
+            hits = []
+            for k in range(len(at) - 1):
+                rest = np.flatnonzero(label[at[k + 1 :]] != label[at[k]]) + k + 1
+                ok = rest[chance(x[k], x[rest], size[at[k]], size[at[rest]])] if len(rest) else rest
+                hits.append(at[k] * len(rows) + at[ok])
+            if hits:
+                seen = np.union1d(seen, np.concatenate(hits))
+        i, j = seen // len(rows), seen % len(rows)
+        # A narrower set in the group folded the bitmaps of these; their own width tells more.
+        keep = [chance(_folded(bits[p], len(bits[q])), _folded(bits[q], len(bits[p])), size[p], size[q]) for p, q in zip(i.tolist(), j.tolist())]
+        i, j = i[np.array(keep, bool)], j[np.array(keep, bool)]
         if len(i):
             i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
             yield pa.record_batch([pa.array(x) for x in (node[i], node[j], label[i], label[j])], names=["a", "b", "la", "lb"])
@@ -309,8 +335,8 @@ def _group_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("g", "node", "label", "size", "narrow"))):
-                if held and held[0][0] != row[0]:
+            for row in zip(*(b.column(c).to_pylist() for c in ("hub", "part", "node", "label", "size", "bits", "groups"))):
+                if held and held[0][:2] != row[:2]:
                     yield from pairs(held)
                     held = []
                 held.append(row)
@@ -493,7 +519,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     buckets = 2 * parts(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     out_schema = "doc_id long, text_key long, size long, s1 long, s2 long, g long, times long"
-    gathered = written(src.mapInArrow(_scan(n, percent, buckets), META).repartition(buckets, "bucket").mapInArrow(_gather, out_schema), "gathered")
+    gathered = written(src.mapInArrow(lean(_scan(n, percent, buckets)), META).repartition(buckets, "bucket").mapInArrow(lean(_gather), out_schema), "gathered")
     meta = gathered.where("g is null").select("doc_id", "text_key", "size", "s1", "s2")
     # A row per set, with a text that has it. Ids of 64 bits meet by chance among so many, both together don't.
     one = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key")).alias("one")
@@ -506,18 +532,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     # One text of each needed set; the texts are dealt once, and repeated rows go where they meet.
     keyed = src.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key", "text").join(need.drop("size").hint("merge"), ["id", "text_key"])
     keyed = keyed.dropDuplicates(["id", "text_key", "node"]).select("text", "node", "s1", "s2")
-    arrays = written(keyed.mapInArrow(_arrays(n), "node long, size long, narrow binary, bits binary, shingles binary"), "arrays")
+    arrays = written(keyed.mapInArrow(lean(_arrays(n)), "node long, size long, narrow binary, bits binary, shingles binary"), "arrays")
 
     def compared(units: DataFrame) -> DataFrame:
         """Links of units (unit, part, side, node, label)."""
         rows = units.join(arrays.select("node", "shingles"), "node").repartition("unit", "part").sortWithinPartitions("unit", "part", "side")
-        return written(rows.select("unit", "part", "side", "node", "label", "shingles").mapInArrow(_compare(percent), "a long, b long"), "links")
+        return written(rows.select("unit", "part", "side", "node", "label", "shingles").mapInArrow(lean(_compare(percent)), "a long, b long"), "links")
 
     def hopeful(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that bit counts leave a chance."""
         for side in "ab":
             pairs = pairs.join(arrays.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-        return written(pairs.mapInArrow(_hopeful(percent), "a long, b long"), "hopeful")
+        return written(pairs.mapInArrow(lean(_hopeful(percent)), "a long, b long"), "hopeful")
 
     def stars(pairs: DataFrame) -> DataFrame:
         """Units of distinct pairs (a, b): a with up to about FAN of its partners."""
@@ -531,28 +557,31 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     shared = member.join(hub, "g").where("node <> hub").groupBy("node", "hub").agg(F.sum("times").alias("k"))
     best = shared.groupBy(F.col("node").alias("b")).agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("a"))
     best = written(best, "best")
-    near = [hopeful(best)]
-    links = [compared(stars(near[0]))]
+    near = hopeful(best)
+    links = [compared(stars(near))]
     # Labels say what is joined already, over any number of links.
     starred = written(components(links[0]), "joined")
     label = need.select("node", "size").join(starred, "node", "left").select("node", "size", F.coalesce("component", "node").alias("label"))
     labelled = m = written(member.join(label, "node").select("g", "node", "size", "label"), "labelled")
-    mixed = m.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("size").alias("least")).where("lo <> hi")
+    mixed = m.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.min("node").alias("hub")).where("lo <> hi")
     # A set is in a group for every few of its shingles, so groups of fewer sets than that share most of their pairs.
     listed = F.col("n") <= F.least(F.lit(BLOCK), F.greatest(F.lit(SMALL), F.col("least") / 2))
-    mixed = written(mixed.select("g", "n", listed.alias("listed")), "mixed")
+    mixed = written(mixed.select("g", "n", "hub", listed.alias("listed")), "mixed")
     m = m.select("g", "node", "label").join(mixed, "g")
-    few = m.where("listed").join(arrays.select("node", "size", "narrow"), "node").select("g", "node", "label", "size", "narrow")
-    few = few.repartition("g").sortWithinPartitions("g").mapInArrow(_group_pairs(percent), "a long, b long, la long, lb long")
+    # Groups of one least set are a family: its sets go there once with their bitmaps, and pairs are told without leaving it.
+    families = mixed.where("listed").groupBy("hub").agg(F.ceil(F.sum("n") / FAMILY).cast("int").alias("parts"))
+    few = m.where("listed").join(families, "hub").withColumn("part", F.pmod(F.xxhash64("g"), "parts").cast("int"))
+    few = few.groupBy("hub", "part", "node").agg(F.min("label").alias("label"), F.collect_list("g").alias("groups"))
+    few = few.join(arrays.select("node", "size", "bits"), "node").select("hub", "part", "node", "label", "size", "bits", "groups")
+    few = few.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(lean(_group_pairs(percent)), "a long, b long, la long, lb long")
     pairs = written(few.distinct().join(best, ["a", "b"], "left_anti"), "pairs")
-    near.append(hopeful(pairs.select("a", "b")))
     # Of the pairs of every label one first, with its least partner: what that joins needs no look at the others.
-    told = near[1].join(pairs, ["a", "b"]).groupBy(F.greatest("la", "lb").alias("hi")).agg(F.min(F.struct(F.least("la", "lb").alias("lo"), "a", "b")).alias("p"))
+    told = pairs.groupBy(F.greatest("la", "lb").alias("hi")).agg(F.min(F.struct(F.least("la", "lb").alias("lo"), "a", "b")).alias("p"))
     first = written(told.select("p.a", "p.b"), "first")
     links.append(compared(stars(first)))
     so_far = lambda c: c.select(F.col("node").alias("a"), F.col("component").alias("b"))
     met = written(components(so_far(starred).union(links[1])), "joined")
-    rest = near[1].join(first, ["a", "b"], "left_anti")
+    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
     for side in "ab":
         rest = rest.join(met.select(F.col("node").alias(side), F.col("component").alias(f"l{side}")), side, "left")
     rest = written(rest.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b"), "rest")
@@ -572,9 +601,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     # Narrow bitmaps are full beyond a bit a shingle.
     bits = arrays.select("node", "size", F.when(F.col("size") <= NARROW, F.col("narrow")).otherwise(F.col("bits")).alias("bits"))
     units = units.join(bits, "node").select(*UNITS.names, "size", "bits").repartition("unit", "part").sortWithinPartitions("unit", "part", "side")
-    units = written(units.mapInArrow(_partnered(percent), "unit long, part int, side int, node long, label long"), "partnered")
+    units = written(units.mapInArrow(lean(_partnered(percent)), "unit long, part int, side int, node long, label long"), "partnered")
     links.append(compared(units))
-    discard(best, *near, starred, pairs, first, met, rest, large, units, mixed, labelled, arrays, need, member)
+    discard(best, near, starred, pairs, first, met, rest, large, units, mixed, labelled, arrays, need, member)
     comp = written(components(so_far(joined).union(links[3])), "comp")
     discard(joined, *links)
     low = sets.join(comp, "node", "left").select("s1", "s2", "low", F.coalesce("component", "node").alias("component"))

@@ -43,11 +43,13 @@ def _encoder(json_path: str, ranks_path: str):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    exact = Tokenizer.from_file(json_path)
+    exact: list[Tokenizer] = []
 
     def encode(text: str) -> list[int]:
         if any(s in text for s in SPECIAL):
-            return exact.encode(text, add_special_tokens=False).ids
+            if not exact:  # few texts ask for it, and each worker would hold it
+                exact.append(Tokenizer.from_file(json_path))
+            return exact[0].encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents of the prior, and disclosure from which a term is generalised or removed.
@@ -151,10 +151,10 @@ def detect(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     src = docs.select(
         _row_key().alias("row"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    found = written(src.mapInPandas(_detect, FOUND), "spans")
+    found = written(src.mapInPandas(lean(_detect), FOUND), "spans")
     new = found.where("words is not null")
     total = F.broadcast(new.agg(F.count_distinct("copy").alias("n")))  # one row
-    n_t = written(new.select("copy", "words").dropDuplicates(["copy"]).select("words").mapInPandas(_count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")), "terms")
+    n_t = written(new.select("copy", "words").dropDuplicates(["copy"]).select("words").mapInPandas(lean(_count), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")), "terms")
     # Values of the same documents score alike, so they are one group: documents of many values cost no more than their groups.
     holds = new.select("copy", F.explode("entities").alias("entity")).distinct()
     groups = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor(F.xxhash64("copy")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), F.col("copy"))).alias("y"))
